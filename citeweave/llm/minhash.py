@@ -8,10 +8,13 @@ an empty bin borrows from a bin that a fixed random walk of its own reaches firs
 centre to its members only, so a bucket of n members gives n - 1 pairs; edges count
 only when the full sets confirm them.
 
-A star can hide a link between two members that both miss the centre. So after the
-stars are joined into components, each bucket that still holds several components
-proposes the pairs across components (all but the largest component of the bucket
-against the rest); groups of near copies are one component by then and propose none.
+The centre is the member that meets most others over all its buckets, which finds the
+text that the others copy. A star can still hide a link between two members that both
+miss the centre. So after the stars are joined into components, members of buckets that
+hold several components are compared across them, unless it is certain that they can't
+link: a member's shingles that occur nowhere else bound the size of any partner. Groups
+of near copies are one component by then, and texts that merely share a passage have too
+much of their own, so few pairs are left and no link is lost.
 
 Results: a null or empty text (or one without words) has an empty set and links with
 nothing. Repeated rows fall on one node. Extra columns are never read. An empty
@@ -183,6 +186,30 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.expr(f"100L * both >= {percent}L * (sum - both)")).select("u", "v")
 
 
+def _mixed(seen: DataFrame) -> DataFrame:
+    """(bucket, main): buckets of several components, and the largest there."""
+    by_comp = seen.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    return by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "main")
+
+
+def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those members of buckets of several components that may have a partner in another one.
+
+    Shingles that no other text there has can't be shared. With s of n shared at most, sets
+    of n and m reach the similarity only if s >= percent / (100 + percent) * (n + m), which
+    bounds m; a member whose bound lies below every size in its bucket has no partner there.
+    What is dropped leaves more shingles unshared, so this may be repeated.
+    """
+    items = sets.join(rest.select("nid").distinct(), "nid").select("nid", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).filter("c = 1").groupBy("nid").agg(F.count("*").alias("alone"))
+    alone = materialize(alone, "alone")
+    bound = F.floor(F.expr(f"(n - coalesce(alone, 0)) * {100 + percent} / {percent}") - F.col("n") + F.lit(1e-6))
+    bounded = materialize(rest.drop("bound").join(alone, "nid", "left").select("bucket", "nid", "n", "comp", bound.alias("bound")), "bounded")
+    least = bounded.groupBy("bucket").agg(F.min("n").alias("least"))
+    kept = materialize(bounded.join(least, "bucket").filter("bound >= least").drop("least"), "kept")
+    return materialize(kept.join(_mixed(kept).select("bucket"), "bucket"), "alive")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
@@ -198,9 +225,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         signed.filter("n > 0").join(named, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("nid", "n", F.explode("bands").alias("bucket")),
         "buckets",
     )
-    active = materialize(buckets.groupBy("bucket").agg(F.min("nid").alias("centre"), F.max("nid").alias("far"), F.min_by("n", "nid").alias("cn")).filter("centre < far").drop("far"), "active")
-    members = materialize(buckets.join(active, "bucket"), "members")
-    stars = materialize(members.filter(F.col("nid") != F.col("centre")).filter(_in_size("n", "cn", percent)).select(F.col("centre").alias("u"), F.col("nid").alias("v")).distinct(), "stars")
+    active = materialize(buckets.groupBy("bucket").agg(F.min("nid").alias("near"), F.max("nid").alias("far"), F.count("*").alias("held")).filter("near < far").select("bucket", "held"), "active")
+    met = materialize(buckets.join(active, "bucket"), "met")
+    # The text of which many are copies meets them in more buckets than they meet each other:
+    # the member that meets most is the centre.
+    weight = materialize(met.groupBy("nid").agg(F.sum("held").alias("meets")), "weight")
+    members = materialize(met.join(weight, "nid").select("bucket", "nid", "n", "meets"), "members")
+    centres = materialize(members.groupBy("bucket").agg(F.max(F.struct("meets", "nid", "n")).alias("c")).select("bucket", F.col("c.nid").alias("centre"), F.col("c.n").alias("cn")), "centres")
+    stars = members.join(centres, "bucket").filter(F.col("nid") != F.col("centre")).filter(_in_size("n", "cn", percent))
+    stars = materialize(stars.select(F.least("centre", "nid").alias("u"), F.greatest("centre", "nid").alias("v")).distinct(), "stars")
     # Full sets of the texts in any active bucket, once each.
     wanted = members.select("nid").distinct().join(groups, "nid").select("nid", "k1", "k2", "first_id")
     wanted = materialize(wanted, "wanted")
@@ -210,16 +243,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = materialize(_confirm(stars, sets, percent), "links")
     comps = components(links, "cc1")
-    # Buckets in which several components are left.
-    seen = materialize(members.select("bucket", "nid", "n").join(comps, "nid", "left").select("bucket", "nid", "n", F.coalesce("comp", "nid").alias("comp")), "seen")
-    mixed = seen.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "main")
-    mixed = materialize(mixed, "mixed")
-    rest = materialize(seen.join(mixed, "bucket"), "rest")
-    left = rest.filter("comp != main").select("bucket", F.col("nid").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"))
-    right = rest.select("bucket", F.col("nid").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"), "main")
-    across = left.join(right, "bucket").filter("uc != vc and (vc = main or u < v)").filter(_in_size("un", "vn", percent))
+    # Members of buckets in which several components are left.
+    seen = materialize(members.join(comps, "nid", "left").select("bucket", "nid", "n", F.coalesce("comp", "nid").alias("comp")), "seen")
+    alive, size = materialize(seen.join(_mixed(seen).select("bucket"), "bucket"), "rest"), None
+    while size is None or alive_rows < 0.8 * size:
+        size = alive.count()
+        alive = _possible(alive, sets, percent)
+        alive_rows = alive.count()
+    main = materialize(_mixed(alive), "mixed")
+    left = alive.join(main, "bucket").filter("comp != main").select("bucket", F.col("nid").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"), F.col("bound").alias("ub"))
+    right = alive.join(main, "bucket").select("bucket", F.col("nid").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"), F.col("bound").alias("vb"), "main")
+    across = left.join(right, "bucket").filter("uc != vc and (vc = main or u < v) and vn <= ub and un <= vb").filter(_in_size("un", "vn", percent))
     across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = materialize(_confirm(across.join(stars, ["u", "v"], "left_anti"), sets, percent), "links2")
+    more = materialize(_confirm(across.join(stars, ["u", "v"], "left_anti"), sets, percent), "more")
     if more.limit(1).count():
         comps = components(links.unionByName(more), "cc2")
 
