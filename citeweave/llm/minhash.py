@@ -179,8 +179,9 @@ def _in_size(a: str, b: str, percent: int) -> F.Column:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (u, v) whose full sets reach the similarity."""
-    with_u = pairs.join(sets.select(F.col("nid").alias("u"), F.col("items").alias("iu")), "u")
-    both = with_u.join(sets.select(F.col("nid").alias("v"), F.col("items").alias("iv")), "v")
+    # Pairs grow with the corpus, so they are never broadcast, however few they are.
+    with_u = pairs.hint("merge").join(sets.select(F.col("nid").alias("u"), F.col("items").alias("iu")), "u")
+    both = with_u.hint("merge").join(sets.select(F.col("nid").alias("v"), F.col("items").alias("iv")), "v")
     shared = F.size(F.array_intersect("iu", "iv"))
     counted = both.select("u", "v", shared.alias("both"), (F.size("iu") + F.size("iv")).alias("sum"))
     return counted.filter(F.expr(f"100L * both >= {percent}L * (sum - both)")).select("u", "v")
@@ -238,7 +239,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select("nid").distinct().join(groups, "nid").select("nid", "k1", "k2", "first_id")
     wanted = materialize(wanted, "wanted")
     ids = wanted.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
-    chosen = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
+    chosen = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
     sets = materialize(shingles(chosen).join(wanted, ["k1", "k2"]).select("nid", "items").dropDuplicates(["nid"]), "sets")
 
     links = materialize(_confirm(stars, sets, percent), "links")
