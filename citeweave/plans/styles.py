@@ -37,9 +37,16 @@ def _cat(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-PAGES = page_range(C("first_page"), C("last_page"))
-SHORT_PAGES = short_page_range(C("first_page"), C("last_page"))
-LINK = _cat("https://doi.org/", C("doi"))
+def pages() -> Column:
+    return page_range(C("first_page"), C("last_page"))
+
+
+def short_pages() -> Column:
+    return short_page_range(C("first_page"), C("last_page"))
+
+
+def link() -> Column:
+    return _cat("https://doi.org/", C("doi"))
 
 
 def apa() -> Column:
@@ -49,10 +56,10 @@ def apa() -> Column:
     people = F.when(n > 20, _cat(F.array_join(F.slice(names, 1, 19), ", "), ", … ", F.element_at(names, -1))).otherwise(listed)
     head = _cat(people, " (", C("year"), "). ", C("title"))
     return _by_kind(
-        _cat(head, ". ", C("container"), ", ", C("volume"), "(", C("issue"), "), ", PAGES, ". ", LINK),
-        _cat(head, ". ", C("publisher"), ". ", LINK),
-        _cat(head, ". In ", C("container"), " (pp. ", PAGES, "). ", C("publisher"), ". ", LINK),
-        _cat(head, F.when(C("kind") == "thesis", " [Doctoral dissertation]").when(C("kind") == "preprint", " [Preprint]").otherwise(""), ". ", C("publisher"), ". ", LINK),
+        _cat(head, ". ", C("container"), ", ", C("volume"), "(", C("issue"), "), ", pages(), ". ", link()),
+        _cat(head, ". ", C("publisher"), ". ", link()),
+        _cat(head, ". In ", C("container"), " (pp. ", pages(), "). ", C("publisher"), ". ", link()),
+        _cat(head, F.when(C("kind") == "thesis", " [Doctoral dissertation]").when(C("kind") == "preprint", " [Preprint]").otherwise(""), ". ", C("publisher"), ". ", link()),
     )
 
 
@@ -60,10 +67,10 @@ def mla() -> Column:
     names = _full(True)
     people = F.when(F.size(names) > 2, _cat(F.element_at(names, 1), ", et al")).otherwise(F.array_join(names, ", and "))
     return _by_kind(
-        _cat(people, ". “", C("title"), ".” ", C("container"), ", vol. ", C("volume"), ", no. ", C("issue"), ", ", C("year"), ", pp. ", PAGES, ". ", LINK, "."),
-        _cat(people, ". ", C("title"), ". ", C("publisher"), ", ", C("year"), ". ", LINK, "."),
-        _cat(people, ". “", C("title"), ".” ", C("container"), ", ", C("publisher"), ", ", C("year"), ", pp. ", PAGES, ". ", LINK, "."),
-        _cat(people, ". ", C("title"), ". ", C("year"), ". ", C("publisher"), ". ", LINK, "."),
+        _cat(people, ". “", C("title"), ".” ", C("container"), ", vol. ", C("volume"), ", no. ", C("issue"), ", ", C("year"), ", pp. ", pages(), ". ", link(), "."),
+        _cat(people, ". ", C("title"), ". ", C("publisher"), ", ", C("year"), ". ", link(), "."),
+        _cat(people, ". “", C("title"), ".” ", C("container"), ", ", C("publisher"), ", ", C("year"), ", pp. ", pages(), ". ", link(), "."),
+        _cat(people, ". ", C("title"), ". ", C("year"), ". ", C("publisher"), ". ", link(), "."),
     )
 
 
@@ -72,10 +79,10 @@ def chicago() -> Column:
     people = _cut(names, 10, 7, ", et al.", join_and(names))
     stop = F.when(people.endswith("."), "").otherwise(".")
     return _by_kind(
-        _cat(people, stop, " “", C("title"), ".” ", C("container"), " ", C("volume"), ", no. ", C("issue"), " (", C("year"), "): ", PAGES, ". ", LINK, "."),
-        _cat(people, stop, " ", C("title"), ". ", C("publisher"), ", ", C("year"), ". ", LINK, "."),
-        _cat(people, stop, " “", C("title"), ".” In ", C("container"), ", ", PAGES, ". ", C("publisher"), ", ", C("year"), ". ", LINK, "."),
-        _cat(people, stop, " “", C("title"), ".” ", C("publisher"), ", ", C("year"), ". ", LINK, "."),
+        _cat(people, stop, " “", C("title"), ".” ", C("container"), " ", C("volume"), ", no. ", C("issue"), " (", C("year"), "): ", pages(), ". ", link(), "."),
+        _cat(people, stop, " ", C("title"), ". ", C("publisher"), ", ", C("year"), ". ", link(), "."),
+        _cat(people, stop, " “", C("title"), ".” In ", C("container"), ", ", pages(), ". ", C("publisher"), ", ", C("year"), ". ", link(), "."),
+        _cat(people, stop, " “", C("title"), ".” ", C("publisher"), ", ", C("year"), ". ", link(), "."),
     )
 
 
@@ -84,10 +91,10 @@ def harvard() -> Column:
     people = F.when(F.size(names) > 3, _cat(F.element_at(names, 1), " et al.")).otherwise(join_and(names, oxford=False))
     head = _cat(people, " (", C("year"), ") ")
     return _by_kind(
-        _cat(head, "‘", C("title"), "’, ", C("container"), ", ", C("volume"), "(", C("issue"), "), pp. ", PAGES, ". Available at: ", LINK, "."),
-        _cat(head, C("title"), ". ", C("publisher"), ". Available at: ", LINK, "."),
-        _cat(head, "‘", C("title"), "’, in ", C("container"), ". ", C("publisher"), ", pp. ", PAGES, ". Available at: ", LINK, "."),
-        _cat(head, C("title"), ". ", C("publisher"), ". Available at: ", LINK, "."),
+        _cat(head, "‘", C("title"), "’, ", C("container"), ", ", C("volume"), "(", C("issue"), "), pp. ", pages(), ". Available at: ", link(), "."),
+        _cat(head, C("title"), ". ", C("publisher"), ". Available at: ", link(), "."),
+        _cat(head, "‘", C("title"), "’, in ", C("container"), ". ", C("publisher"), ", pp. ", pages(), ". Available at: ", link(), "."),
+        _cat(head, C("title"), ". ", C("publisher"), ". Available at: ", link(), "."),
     )
 
 
@@ -95,9 +102,9 @@ def vancouver() -> Column:
     names = F.transform("authors", lambda a: _cat(a["family"], " ", F.replace(initials(a["given"], "", ""), F.lit("-"), F.lit(""))))
     people = _cut(names, 6, 6, ", et al", F.array_join(names, ", "))
     return _by_kind(
-        _cat(people, ". ", C("title"), ". ", C("container"), ". ", C("year"), ";", C("volume"), "(", C("issue"), "):", SHORT_PAGES, ". doi:", C("doi")),
+        _cat(people, ". ", C("title"), ". ", C("container"), ". ", C("year"), ";", C("volume"), "(", C("issue"), "):", short_pages(), ". doi:", C("doi")),
         _cat(people, ". ", C("title"), ". ", C("publisher"), "; ", C("year"), ". doi:", C("doi")),
-        _cat(people, ". ", C("title"), ". In: ", C("container"), ". ", C("publisher"), "; ", C("year"), ". p. ", SHORT_PAGES, ". doi:", C("doi")),
+        _cat(people, ". ", C("title"), ". In: ", C("container"), ". ", C("publisher"), "; ", C("year"), ". p. ", short_pages(), ". doi:", C("doi")),
         _cat(people, ". ", C("title"), ". ", C("publisher"), "; ", C("year"), ". doi:", C("doi")),
     )
 
@@ -106,9 +113,9 @@ def ieee() -> Column:
     names = _first_last()
     people = F.when(F.size(names) > 6, _cat(F.element_at(names, 1), " et al.")).otherwise(join_and(names))
     return _by_kind(
-        _cat(people, ", “", C("title"), ",” ", C("container"), ", vol. ", C("volume"), ", no. ", C("issue"), ", pp. ", PAGES, ", ", C("year"), ", doi: ", C("doi"), "."),
+        _cat(people, ", “", C("title"), ",” ", C("container"), ", vol. ", C("volume"), ", no. ", C("issue"), ", pp. ", pages(), ", ", C("year"), ", doi: ", C("doi"), "."),
         _cat(people, ", ", C("title"), ". ", C("publisher"), ", ", C("year"), ". doi: ", C("doi"), "."),
-        _cat(people, ", “", C("title"), ",” in ", C("container"), ", ", C("publisher"), ", ", C("year"), ", pp. ", PAGES, ". doi: ", C("doi"), "."),
+        _cat(people, ", “", C("title"), ",” in ", C("container"), ", ", C("publisher"), ", ", C("year"), ", pp. ", pages(), ". doi: ", C("doi"), "."),
         _cat(people, ", “", C("title"), ",” ", C("publisher"), ", ", C("year"), ". doi: ", C("doi"), "."),
     )
 
@@ -117,7 +124,7 @@ def carnegie() -> Column:
     names = F.transform("authors", lambda a, i: F.when(i == 0, _cat(F.upper(a["family"]), ", ", initials(a["given"], ".", ""))).otherwise(_cat(initials(a["given"], ".", ""), " ", F.upper(a["family"]))))
     head = _cat(join_and(names), ". ", C("year"), ". ", C("title"), ". ")
     return _by_kind(
-        _cat(head, C("container"), ", ", C("volume"), ":", PAGES, "."),
+        _cat(head, C("container"), ", ", C("volume"), ":", pages(), "."),
         _cat(head, C("publisher"), "."),
         _cat(head, "In ", C("container"), ". ", C("publisher"), "."),
         _cat(head, C("publisher"), "."),
