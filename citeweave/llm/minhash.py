@@ -12,9 +12,12 @@ The centre is the member that meets most others over all its buckets, which find
 text that the others copy. A star can still hide a link between two members that both
 miss the centre. So after the stars are joined into components, members of buckets that
 hold several components are compared across them, unless it is certain that they can't
-link: a member's shingles that occur nowhere else bound the size of any partner. Groups
-of near copies are one component by then, and texts that merely share a passage have too
-much of their own, so few pairs are left and no link is lost.
+link: a member's shingles that occur nowhere else bound the size of any partner, and the
+parity marks of two sets bound how much they differ. Groups of near copies are one
+component by then, and texts that merely share a passage have too much of their own, so
+few pairs are left and no link is lost. Marks are compared within the join; in a family
+of texts that all just miss the similarity that is still a comparison for each pair of a
+bucket, of some words of bits, but only pairs that the marks leave open are emitted.
 
 Results: a null or empty text (or one without words) has an empty set and links with
 nothing. Repeated rows fall on one node. Extra columns are never read. An empty
@@ -141,15 +144,29 @@ def sign(df: DataFrame, id_type: str) -> DataFrame:
     return map_arrow(df, run, f"doc_id {id_type}, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
 
+def parity_marks(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each of 2 to 4 cells a shingle: whether the cell holds an odd number of them.
+
+    Cells that differ between two sets each hold a shingle of one set alone, so their number
+    never exceeds the symmetric difference. The second marks are for half as many cells.
+    """
+    cells = max(64, 1 << max(2 * len(shingles) - 1, 0).bit_length())
+    odd = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    full = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return full, full[: len(full) // 2] ^ full[len(full) // 2 :] if len(full) > 1 else full
+
+
 def shingles(df: DataFrame) -> DataFrame:
-    """(k1, k2, items): the full sets."""
+    """(k1, k2, items, marks, half): the full sets and their parity marks."""
 
     def run(batch: pa.RecordBatch) -> dict:
         words = [words_of(t) for t in texts(batch)]
         k1, k2 = _keys(words)
-        return {"k1": k1, "k2": k2, "items": _lists([shingle_set(w).view(np.int64) for w in words])}
+        sets = [shingle_set(w) for w in words]
+        marks = [parity_marks(s) for s in sets]
+        return {"k1": k1, "k2": k2, "items": _lists([s.view(np.int64) for s in sets]), "marks": _lists([m for m, _ in marks]), "half": _lists([h for _, h in marks])}
 
-    return map_arrow(df, run, "k1 bigint, k2 bigint, items array<bigint>")
+    return map_arrow(df, run, "k1 bigint, k2 bigint, items array<bigint>, marks array<bigint>, half array<bigint>")
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -177,6 +194,19 @@ def _in_size(a: str, b: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def _may_link(percent: int) -> F.Column:
+    """Whether the parity marks of u and v allow the similarity.
+
+    Sets of n and m reach it only if they differ in (100 - percent) / (100 + percent) * (n + m)
+    shingles at most. Marks of unlike length are compared at the shorter one's; if that is
+    shorter than half the longer one's, the pair stays open.
+    """
+    u = F.expr("if(size(um) <= size(vm), um, uh)")
+    v = F.expr("if(size(vm) <= size(um), vm, vh)")
+    unlike = F.aggregate(F.zip_with(u, v, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    return F.coalesce(unlike, F.lit(0)) * (100 + percent) <= (F.col("un") + F.col("vn")) * (100 - percent)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (u, v) whose full sets reach the similarity."""
     # Pairs grow with the corpus, so they are never broadcast, however few they are.
@@ -240,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = materialize(wanted, "wanted")
     ids = wanted.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
     chosen = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
-    sets = materialize(shingles(chosen).join(wanted, ["k1", "k2"]).select("nid", "items").dropDuplicates(["nid"]), "sets")
+    sets = materialize(shingles(chosen).join(wanted, ["k1", "k2"]).select("nid", "items", "marks", "half").dropDuplicates(["nid"]), "sets")
 
     links = materialize(_confirm(stars, sets, percent), "links")
     comps = components(links, "cc1")
@@ -252,9 +282,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         alive = _possible(alive, sets, percent)
         alive_rows = alive.count()
     main = materialize(_mixed(alive), "mixed")
-    left = alive.join(main, "bucket").filter("comp != main").select("bucket", F.col("nid").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"), F.col("bound").alias("ub"))
-    right = alive.join(main, "bucket").select("bucket", F.col("nid").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"), F.col("bound").alias("vb"), "main")
-    across = left.join(right, "bucket").filter("uc != vc and (vc = main or u < v) and vn <= ub and un <= vb").filter(_in_size("un", "vn", percent))
+    marked = materialize(alive.join(sets.select("nid", "marks", "half"), "nid").join(main, "bucket"), "marked")
+    left = marked.filter("comp != main").selectExpr("bucket", "nid u", "n un", "comp uc", "bound ub", "marks um", "half uh")
+    right = marked.selectExpr("bucket", "nid v", "n vn", "comp vc", "bound vb", "marks vm", "half vh", "main")
+    across = left.join(right, "bucket").filter("uc != vc and (vc = main or u < v) and vn <= ub and un <= vb").filter(_in_size("un", "vn", percent)).filter(_may_link(percent))
     across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = materialize(_confirm(across.join(stars, ["u", "v"], "left_anti"), sets, percent), "more")
     if more.limit(1).count():

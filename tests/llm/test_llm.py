@@ -96,6 +96,19 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [], False)).count() == 0
 
 
+def test_parity_marks_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 31, 32, 33, 146, 700):
+        for kept in (0, n // 2, n):
+            one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            two = np.unique(np.concatenate([one[:kept], rng.integers(0, 1 << 63, n - kept // 2).astype(np.uint64)]))
+            (a, a_half), (b, b_half) = minhash.parity_marks(one), minhash.parity_marks(two)
+            x, y = (a, b) if len(a) == len(b) else (a_half, b) if len(a) > len(b) else (a, b_half)
+            if len(x) == len(y):
+                unlike = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+                assert unlike <= len(np.setxor1d(one, two))
+
+
 @pytest.mark.parametrize("identifiers", [exact.IDENTIFIERS, (lambda c: F.char_length(c) % 3, *exact.IDENTIFIERS)])
 def test_exact_duplicates(spark, identifiers):
     long = "".join(f"word{i} bit by bit " for i in range(2000))
