@@ -54,6 +54,10 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
             for part in sliced(batch, batch.num_rows, size):
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in out], schema=out)
+                del cols, part
+            del batch
+            # An idle worker stays beside the next stage's: it should hold no freed batches.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -28,6 +28,7 @@ component names it, and a component without any id is named null.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,6 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _HASHES: dict[bytes, int] = {}
-_WALKS: list[np.ndarray] = []
 
 
 def words_of(text: str) -> list[bytes]:
@@ -84,11 +84,10 @@ def shingle_set(words: list[bytes], width: int = WORDS) -> np.ndarray:
         return np.unique(_avalanche(total))
 
 
+@lru_cache(maxsize=2_000)
 def _walk(step: int, bins: int) -> np.ndarray:
     """For each bin, the bin that its fixed random walk visits at a step."""
-    while len(_WALKS) <= step:
-        _WALKS.append(np.random.default_rng(7_000 + len(_WALKS)).integers(0, 1 << 30, 4096))
-    return _WALKS[step][:bins] % bins
+    return np.random.default_rng(7_000 + step).integers(0, bins, bins)
 
 
 def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -126,20 +125,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64, copy=False)))
 
 
-def _keys(words: list[list[bytes]]) -> tuple[list[int], list[int]]:
-    digests = [hashlib.sha256(b" ".join(w)).digest() for w in words]
-    return [int.from_bytes(d[:8], "big", signed=True) for d in digests], [int.from_bytes(d[8:16], "big", signed=True) for d in digests]
+def _read(text: str) -> tuple[int, int, np.ndarray]:
+    """128-bit name of the word sequence and the shingle set; the words themselves are let go."""
+    words = words_of(text)
+    digest = hashlib.sha256(b" ".join(words)).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:16], "big", signed=True), shingle_set(words)
 
 
 def sign(df: DataFrame, id_type: str) -> DataFrame:
     """(doc_id, k1, k2, n, bands): 128-bit name of the word sequence, set size, bucket names."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        words = [words_of(t) for t in texts(batch)]
-        sets = [shingle_set(w) for w in words]
-        k1, k2 = _keys(words)
-        none = np.empty(0, np.int64)
-        return {"doc_id": batch.column("doc_id"), "k1": k1, "k2": k2, "n": [len(s) for s in sets], "bands": _lists([band_keys(signature(s)) if len(s) else none for s in sets])}
+        k1, k2, n, bands = [], [], [], []
+        for text in texts(batch):
+            one, two, items = _read(text)
+            k1.append(one)
+            k2.append(two)
+            n.append(len(items))
+            bands.append(band_keys(signature(items)) if len(items) else np.empty(0, np.int64))
+        return {"doc_id": batch.column("doc_id"), "k1": k1, "k2": k2, "n": n, "bands": _lists(bands)}
 
     return map_arrow(df, run, f"doc_id {id_type}, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
@@ -160,13 +164,14 @@ def shingles(df: DataFrame) -> DataFrame:
     """(k1, k2, items, marks, half): the full sets and their parity marks."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        words = [words_of(t) for t in texts(batch)]
-        k1, k2 = _keys(words)
-        sets = [shingle_set(w) for w in words]
-        marks = [parity_marks(s) for s in sets]
-        return {"k1": k1, "k2": k2, "items": _lists([s.view(np.int64) for s in sets]), "marks": _lists([m for m, _ in marks]), "half": _lists([h for _, h in marks])}
-
-    return map_arrow(df, run, "k1 bigint, k2 bigint, items array<bigint>, marks array<bigint>, half array<bigint>")
+        read = [_read(t) for t in texts(batch)]
+        marks = [parity_marks(items) for _, _, items in read]
+        return {
+            "k1": [one for one, _, _ in read], "k2": [two for _, two, _ in read], "items": _lists([items.view(np.int64) for _, _, items in read]),
+            "marks": _lists([m for m, _ in marks]), "half": _lists([h for _, h in marks]),
+        }
+
+    return map_arrow(df, run, "k1 bigint, k2 bigint, items array<bigint>, marks array<bigint>, half array<bigint>", 2 << 20)
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:

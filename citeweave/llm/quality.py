@@ -19,7 +19,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,10 +164,26 @@ def score_statistics(stats: DataFrame, model: Classifier, threshold: float = THR
     return map_arrow(stats.select("doc_id", "stats"), run, f"doc_id {id_type}, score double, predicted int")
 
 
-def keep_good(df: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``df`` that the classifier does not reject, with their columns."""
-    @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t or "") for t in column], float).reshape(len(column), -1)))
+def statistics_of(text: Column) -> Column:
+    """The statistics of whole texts as a column; null counts as empty."""
 
-    return df.filter(score(F.col(text_col)) >= threshold)
+    @F.arrow_udf("array<double>")
+    def measured(column: pa.Array) -> pa.Array:
+        made = np.empty((len(column), len(STATISTICS)))
+        for at in range(0, len(column), 256):
+            for i, one in enumerate(column.slice(at, 256).to_pylist(), at):
+                made[i] = statistics(one or "")
+        offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(STATISTICS))
+        return pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+
+    return measured(text)
+
+
+def keep_good(df: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD, stats_col: str | None = None) -> DataFrame:
+    """Rows of ``df`` that the classifier does not reject, by ``stats_col`` where the texts are measured already."""
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array(model.scores(np.asarray(column.flatten()).reshape(len(column), len(STATISTICS))))
+
+    return df.filter(score(F.col(stats_col) if stats_col else statistics_of(F.col(text_col))) >= threshold)

@@ -16,10 +16,13 @@ from citeweave.llm.common import materialize
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; the classifier learns from all labelled documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality.learn(materialize(quality.document_statistics(labelled), "statistics"), labels, F.lit(True))
-    return quality.keep_good(docs, model)
+    labels, name = spark.read.parquet(f"{sf_dir}/labels.parquet"), "_statistics"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    # Texts are read once and never shuffled: only the statistics meet the labels.
+    measured = materialize(docs.withColumn(name, quality.statistics_of(F.col("text"))), "measured")
+    model = quality.learn(measured.select("doc_id", F.col(name).alias("stats")), labels, F.lit(True))
+    return quality.keep_good(measured, model, stats_col=name).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
