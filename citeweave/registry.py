@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from citeweave.operators import matching
+from citeweave.operators import lists, matching
 from citeweave.plans import queries as rendering
 
-MODULES = (matching, rendering)
+MODULES = (matching, lists, rendering)
 QUERIES: dict[str, Callable] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}
 FLAGSHIP = "match_best_passage"
