@@ -213,7 +213,12 @@ def test_quality(spark):
     model = quality.learn(stats, labels, F.lit(True))
     got = {r.doc_id: r for r in quality.score_statistics(stats, model).collect()}
     assert sum(got[i].predicted == int(i % 4 > 0) for i in range(400)) >= 390 and all(0 <= r.score <= 1 for r in got.values())
+    fine = sorted(i for i, r in got.items() if r.score >= quality.THRESHOLD)
     assert quality.keep_good(docs, model).columns == docs.columns
+    assert sorted(r.doc_id for r in quality.keep_good(docs, model).select("doc_id").collect()) == fine
+    measured = docs.withColumn("m", quality.statistics_of(F.col("text")))
+    assert sorted(r.doc_id for r in quality.keep_good(measured, model, stats_col="m").select("doc_id").collect()) == fine
+    assert {r.doc_id: r.m for r in measured.select("doc_id", "m").collect()} == {r.doc_id: r.stats for r in stats.collect()}
     score, value = quality.monotone(np.array([0.0, 1, 2, 3]), np.array([2.0, 2, 2, 2]), np.array([1.0, 0, 2, 1]))
     assert (np.diff(value) >= 0).all() and len(score) == len(value)
 
