@@ -5,10 +5,11 @@ histogram of piece lengths (at most ``SIZE`` numbers, whatever the corpus) goes
 driver. There the covering program over configurations (multisets of lengths that fit
 a sequence) is solved by multiplicative weights: lengths that lag behind their share gain
 weight, an unbounded-knapsack dynamic program prices the best configuration for these
-weights, and the configuration is applied as often as its share allows. The counts are
-rounded down, what stays over is solved again, and best fit over the remaining lengths
-closes the plan. The plan is a run-length list of (length, rank range) -> (sequence,
-offset), whose size also depends on ``SIZE`` only.
+weights, and the configuration is raised by a step, until the cover scaled by its least
+share is within ``GAP`` of the dual bound. The multiplicities are rounded, what stays over
+is solved again, and best fit over the remaining lengths closes the plan. The plan is a
+run-length list of (length, rank range) -> (sequence, offset), whose size also depends on
+``SIZE`` only.
 
 Ranks of pieces of one length come from hash parts of a bounded expected size, so a
 frequent length is never gathered into one task.
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import functools
 import json
+import logging
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,8 @@ from citeweave.llm.common import map_arrow, materialize, texts
 from citeweave.llm.segments import WHITE, segment_lists
 
 SIZE, END = 2048, 0
-ROUNDS, EPSILON = 60, 0.25
+#: The program is solved to this duality gap; softness of the weights; fewer pieces are left to best fit.
+GAP, EPSILON, LEAST_PIECES = 0.02, 4.0, 64
 #: Expected pieces of a hash part, and the most parts of one length.
 ROWS_A_PART, MOST_PARTS = 256, 16_384
 #: Bytes of text that are numbered at once: more share more segments.
@@ -145,74 +149,149 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), run, schema, SLICE)
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """The configuration of greatest weight within ``size`` (unbounded knapsack), as counts, and its weight."""
+def price(weights: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gain of each length, best): ``best[c]`` is the greatest weight within ``c`` (unbounded knapsack)."""
+    dense = np.full(size + 1, -np.inf)
+    dense[lengths] = weights
     best = np.zeros(size + 1)
-    take = np.full(size + 1, -1, np.int64)
-    ends = np.searchsorted(lengths, np.arange(size + 1), side="right")
     for c in range(1, size + 1):
-        k = ends[c]
-        best[c] = best[c - 1]
-        if k:
-            gains = best[c - lengths[:k]] + weights[:k]
-            j = int(gains.argmax())
-            if gains[j] > best[c] + 1e-15:
-                best[c], take[c] = gains[j], j
-    counts, c = np.zeros(len(lengths), np.int64), size
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            counts[take[c]] += 1
-            c -= lengths[take[c]]
-    return counts, float(best[size])
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int = ROUNDS, epsilon: float = EPSILON) -> list[tuple[np.ndarray, float]]:
-    """Fractional multiplicities of configurations that cover the counts (multiplicative weights).
-
-    A configuration is raised until it would cover one of its lengths by a fixed share
-    more; covered shares shrink weights exponentially. Weights start at the lengths, the
-    dual prices of a program without waste.
+        best[c] = max(best[c - 1], (dense[1 : c + 1] + best[c - 1 :: -1][:c]).max())
+    return dense, best
+
+
+def configuration(first: int, dense: np.ndarray, best: np.ndarray, size: int) -> list[int]:
+    """Lengths of a sequence that starts with ``first`` (none if 0) and gains most by present weights and the prices ``best``."""
+    parts, c = [first] * (first > 0), size - first
+    while c:
+        gains = dense[1 : c + 1] + best[c - 1 :: -1][:c]
+        k = int(gains.argmax()) + 1
+        if not gains[k - 1] > 0:
+            break
+        parts.append(k)
+        c -= k
+    return parts
+
+
+class Cover:
+    """A growing fractional cover of the counts: how often each configuration is used, and each length's covered share."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, size: int):
+        self.lengths, self.counts, self.size = lengths, counts, size
+        self.at = np.full(size + 1, -1)
+        self.at[lengths] = np.arange(len(lengths))
+        self.share, self.used, self.total = np.zeros(len(lengths)), {}, 0.0
+        self.lower = float((lengths * counts).sum()) / size
+
+    def weights(self, some=slice(None), base: float = 0.0) -> np.ndarray:
+        return self.lengths[some] * np.exp(-(self.share[some] - base) / EPSILON)
+
+    def prices(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prices of the present weights; they bound the program from below by duality."""
+        weights = self.weights(base=self.share.min())
+        dense, best = price(weights, self.lengths, self.size)
+        self.lower = max(self.lower, float((weights * self.counts).sum() / best[self.size]))
+        return dense, best
+
+    def add(self, parts: list[int], step: float) -> np.ndarray:
+        """Raises a configuration until one of its lengths is covered by ``step`` more."""
+        inside, times = np.unique(self.at[parts], return_counts=True)
+        x = float((self.counts[inside] / times).min()) * step
+        self.share[inside] += x * times / self.counts[inside]
+        key = tuple(sorted(parts, reverse=True))
+        self.used[key] = self.used.get(key, 0.0) + x
+        self.total += x
+        return inside
+
+    def gap(self) -> float:
+        """How far the cover, scaled by its least share, lies above the bound."""
+        low = self.share.min()
+        return self.total / low / self.lower - 1 if low > 0 else np.inf
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, size: int, gap: float = GAP) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+    """(configurations with fractional multiplicities that cover all counts, duality gap).
+
+    Multiplicative weights, starting at the lengths (the dual prices of a program without
+    waste). In each sweep every length that lags gets a configuration of its own. Steps
+    shrink once the counts are covered a few times, so shares even out, and start anew at
+    twice the cover while that narrows the gap. Should it stall
+    above the gap (waste can't be avoided, prices must move), plain rounds follow, in which
+    the best configuration alone is raised, at most ``8 * len(lengths) + 1000`` of them.
+    """
+    cover = Cover(lengths, counts, size)
+    step, turn, before = 0.5, 2.0, np.inf
+    while cover.gap() > gap:
+        if step < 0.01:  # shares are as even as these steps make them: go on at twice the cover, if that helps
+            if cover.gap() > 0.97 * before or turn > 200:
+                break
+            step, turn, before = 0.5, 2 * turn, cover.gap()
+        base = cover.share.min()
+        late = np.flatnonzero(cover.share < base + step)
+        for j, i in enumerate(late[np.argsort(cover.share[late], kind="stable")]):
+            if j % 32 == 0:
+                base = cover.share.min()
+                dense, best = cover.prices()
+                goal = base + step if j == 0 else goal
+            if cover.share[i] < goal:
+                inside = cover.add(configuration(int(lengths[i]), dense, best, size), step)
+                dense[lengths[inside]] = cover.weights(inside, base)
+        if cover.share.min() >= turn:
+            step *= 0.75
+    if cover.gap() > gap:
+        plain = Cover(lengths, counts, size)
+        plain.lower = cover.lower
+        for _ in range(8 * len(lengths) + 1000):
+            plain.add(configuration(0, *plain.prices(), size), 0.5)
+            cover.lower = plain.lower
+            if min(plain.gap(), cover.gap()) <= gap:
+                break
+        cover = min(cover, plain, key=Cover.gap)
+    low = cover.share.min()
+    return [(parts, x / low) for parts, x in cover.used.items()], cover.gap()
+
+
+def program(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[np.ndarray, int]], list[tuple[np.ndarray, int]], list[float]]:
+    """(sequences of the program's configurations, those of best fit, duality gap of each pass).
+
+    Multiplicities are rounded at random with a fixed seed, full sequences first, and
+    never exceed what is left; what stays over is solved again. Passes end when best fit
+    over the rest makes the whole as short as its tokens allow, when they place little or
+    when few pieces are left; the passes kept are those with the fewest sequences in all.
     """
-    share = np.zeros(len(lengths))
-    used: dict[bytes, list] = {}
-    for _ in range(rounds):
-        weights = lengths * np.exp(-(share - share.min()) / epsilon) / size
-        config, _ = price(weights, lengths, size)
-        inside = config > 0
-        step = float((counts[inside] / config[inside]).min()) / 8
-        share[inside] += step * config[inside] / counts[inside]
-        used.setdefault(config.tobytes(), [config, 0.0])[1] += step
-    return [(config, x) for config, x in used.values()]
-
-
-def plan(histogram: dict[int, int], size: int = SIZE, passes: int = 4) -> list[tuple[np.ndarray, int]]:
-    """Whole multiplicities: [(lengths of one sequence, longest first, how many such)]."""
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    least = -(-sum(k * n for k, n in left.items()) // size)
     out: list[tuple[np.ndarray, int]] = []
-    if left.get(size):
-        out.append((np.array([size]), left.pop(size)))
-    for _ in range(passes):
-        if sum(left.values()) < 64:
-            break
+    rng, gaps, kept, rest = np.random.default_rng(7), [], 0, best_fit(left, size)
+    fewest = sum(n for _, n in rest)
+    while sum(left.values()) >= LEAST_PIECES:
         lengths = np.array(sorted(left))
-        counts = np.array([left[k] for k in lengths])
-        solution = solve(lengths, counts, size)
-        cover = sum(config * x for config, x in solution)
-        scale = 1 / max(float((cover / counts).max()), 1e-12)  # none is covered beyond its count
-        placed = 0
-        for config, x in sorted(solution, key=lambda s: -s[1]):
-            times = int(x * scale)
-            if times and (np.dot(config, lengths) >= 0.98 * size):
-                out.append((np.repeat(lengths, config)[::-1], times))
-                placed += times
-                for k, n in zip(lengths[config > 0], config[config > 0], strict=True):
-                    left[int(k)] -= int(n) * times
-        left = {k: v for k, v in left.items() if v}
-        if not placed:
+        solution, gap = solve(lengths, np.array([left[k] for k in lengths]), size)
+        gaps.append(float(gap))
+        before = sum(k * n for k, n in left.items())
+        for parts, x in sorted(solution, key=lambda s: (-sum(s[0]), -s[1], s[0])):
+            times = min(int(x + rng.random()), *(left[k] // n for k, n in Counter(parts).items()))
+            if times:
+                out.append((np.array(parts), times))
+                for k in parts:
+                    left[k] -= times
+        left = {k: n for k, n in left.items() if n}
+        more = best_fit(left, size)
+        total = sum(n for _, n in out) + sum(n for _, n in more)
+        if total <= fewest:
+            kept, rest, fewest = len(out), more, total
+        if total == least or sum(k * n for k, n in left.items()) > 0.75 * before:
             break
-    return out + best_fit(left, size)
+    if max(gaps, default=0) > GAP:
+        logging.getLogger(__name__).warning("configuration program: duality gap %.4f above %.4f", max(gaps), GAP)
+    return out[:kept], rest, gaps
+
+
+def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[np.ndarray, int]]:
+    """Whole multiplicities: [(lengths of one sequence, longest first, how many such)]."""
+    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    full = [(np.array([size]), left.pop(size))] if left.get(size) else []
+    solved, rest, _ = program(left, size)
+    return full + solved + rest
 
 
 def best_fit(left: dict[int, int], size: int) -> list[tuple[np.ndarray, int]]:

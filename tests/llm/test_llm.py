@@ -166,6 +166,34 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [], False), path).count() == 0
 
 
+def test_packing_program_converges():
+    rng = np.random.default_rng(3)
+    histogram = Counter(int(k) for k in rng.integers(1, 256, 3000))
+    lengths = np.array(sorted(histogram))
+    counts = np.array([histogram[k] for k in lengths])
+    solution, gap = packing.solve(lengths, counts, 256)
+    cover = Counter()
+    for parts, x in solution:
+        assert sum(parts) <= 256
+        for k in parts:
+            cover[k] += x
+    assert gap <= packing.GAP
+    assert all(cover[k] >= n * (1 - 1e-9) for k, n in histogram.items())
+    assert sum(x for _, x in solution) <= (1 + gap) * sum(map(int, lengths * counts)) / 256 * (1 + 1e-9)
+    solved, rest, _ = packing.program(histogram, 256)
+    placed = Counter()
+    for parts, times in solved + rest:
+        assert sum(parts) <= 256
+        for k in parts:
+            placed[int(k)] += times
+    assert placed == histogram
+
+
+def test_packing_program_with_waste():
+    solution, gap = packing.solve(np.array([1200, 1500]), np.array([300, 100]), 2048)
+    assert gap <= packing.GAP and 400 - 1e-6 <= sum(x for _, x in solution) <= 408
+
+
 def test_tiff(spark):
     rng = np.random.default_rng(3)
     pages = [rng.integers(0, 9, (33, 50), dtype=np.uint8), rng.integers(0, 60_000, (20, 17, 3), dtype=np.uint16)]
