@@ -53,7 +53,8 @@ class Encoder:
     The file's vocabulary, merges and byte alphabet are read from it. A segment of bytes
     that the file would encode in one way is encoded by ``tiktoken`` with the same ranks,
     which is many times faster for short texts; a file that is not byte-level BPE of the
-    common pattern is refused.
+    common pattern is refused. Texts that hold one of the file's added tokens, which are
+    matched in the text itself, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -66,6 +67,7 @@ class Encoder:
         step = model["pre_tokenizer"] or {}
         if model["model"]["type"] != "BPE" or step.get("type") != "ByteLevel" or step.get("add_prefix_space") or model.get("normalizer"):
             raise ValueError("not a byte-level BPE without prefix space")
+        self.path, self.added = path, [t["content"] for t in model["added_tokens"]]
         special = {t["id"] for t in model["added_tokens"] if t["special"]}
         table = {c: b for b, c in byte_alphabet().items()}
         vocab = tokenizer.get_vocab(with_added_tokens=False)
@@ -74,8 +76,26 @@ class Encoder:
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
         self.widths[list(ranks.values())] = [len(b) for b in ranks]
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        marked = [i for i, text in enumerate(batch) if any(token in text for token in self.added)]
+        if not marked:
+            return self._encode(batch)
+        plain = list(batch)
+        for i in marked:
+            plain[i] = ""
+        out = self._encode(plain)
+        for i in marked:
+            out[i] = np.array(self.tokenizer.encode(batch[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         offsets, codes, later, own = segment_lists(batch)
         n = len(later)
         line, open_end = (np.asarray(x) for x in (pc.starts_with(later, "\n"), pc.match_substring_regex(later, f"(^|[{WHITE}])$")))

@@ -166,6 +166,16 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [], False), path).count() == 0
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "plain text", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "", "<|endoftext| >"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.encoder(path).encode(texts)] == want
+
+
 def test_packing_program_converges():
     rng = np.random.default_rng(3)
     histogram = Counter(int(k) for k in rng.integers(1, 256, 3000))
