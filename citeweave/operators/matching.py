@@ -1,8 +1,7 @@
 """Linking texts to candidates: shared tokens, grades, runner-up, hysteresis and fallback tiers.
 
-Candidates come from an equi-join on the tokens that few candidates have (blocking);
-scores are set operations on the token arrays, so no text is compared in Python. The
-candidate side is joined by id, never crossed.
+Candidates come from an equi-join on all tokens, and scores from the number of tokens
+shared, so no pair with a common token is lost and no text is compared in Python.
 """
 
 from __future__ import annotations
@@ -15,21 +14,18 @@ from citeweave.functions.bibliographic import grade
 from citeweave.functions.text import tokens
 from citeweave.tables import load
 
-#: A blocking token occurs in at most so many candidates.
+#: The SQL still compares only through tokens of at most so many candidates; the plans do not.
 RARE = 2
 MARGIN, NEAR, LEAST = 0.05, 0.15, 0.5
 
 
-def scored_pairs(texts: DataFrame, candidates: DataFrame, rare: int = RARE) -> DataFrame:
-    """(doc_id, item_id, score) of texts and candidates (item_id, words) that share a rare token."""
-    docs = texts.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("have"))
+def scored_pairs(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score) of all texts and candidates that share a token: shared tokens are counted over an equi-join."""
+    docs = texts.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     items = candidates.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("want"))
-    each = items.select("item_id", F.explode("want").alias("token"))
-    keys = each.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") <= rare).select("token")
-    keyed = each.join(keys, "token")
-    found = docs.select("doc_id", F.explode("have").alias("token")).join(keyed, "token").select("doc_id", "item_id").distinct()
-    both = found.join(items, "item_id").join(docs, "doc_id")
-    return both.select("doc_id", "item_id", (F.size(F.array_intersect("have", "want")) / F.size("want")).alias("score"))
+    each = items.select("item_id", F.size("want").alias("wanted"), F.explode("want").alias("token"))
+    shared = docs.join(each, "token").groupBy("doc_id", "item_id", "wanted").agg(F.count("*").alias("shared"))
+    return shared.select("doc_id", "item_id", (F.col("shared") / F.col("wanted")).alias("score"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,12 @@ def test_text(spark):
     assert one(spark, t.fold, "Straße Ærø Ñandú") == "strasse aerø nandu"
     assert one(spark, t.clean, "<b>A</b> &lt;5 , x") == "A <5, x"
     assert one(spark, t.fold_spelling, "colour") == "color" and one(spark, t.fold_spelling, "grey") == "gray"
+
+
+def test_pairs_without_a_rare_token(spark):
+    from citeweave.operators.matching import scored_pairs
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha omega")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "alpha beta gamma delta") for i in range(3)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in scored_pairs(docs, items).collect()}
+    assert got == {(d, i): s for d, s in ((1, 1.0), (2, 0.25)) for i in range(3)}
