@@ -11,8 +11,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 #: Letters that fold to two (fixed values).
 PAIRS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-#: British to American endings, in order (fixed values).
-SPELLINGS = (("^sulph", "sulf"), ("our$", "or"), ("isation$", "ization"), ("ise$", "ize"), ("yse$", "yze"), ("tre$", "ter"), ("mme$", "m"), ("logue$", "log"))
+#: British to American spellings, applied one after another (fixed values).
+SPELLINGS = (
+    ("sulph", "sulf"), ("(ae|oe)(?!l)", "e"), ("our$", "or"), ("i[sz]ation$", "ization"), ("i[sz]e[sd]?$", "ize"),
+    ("y[sz]e[sd]?$", "yze"), ("(t|b)re$", "$1er"), ("ll(?=[iea])", "l"), ("mme$", "m"), ("logue$", "log"),
+)
 
 
 def fold(col: Column) -> Column:
@@ -30,10 +33,10 @@ def tokens(col: Column, least: int = 3) -> Column:
 
 
 def fold_spelling(col: Column) -> Column:
-    """One spelling for variants of words of six letters or more; the first rule that fits is applied."""
+    """One spelling for variants of words of six letters or more; all rules apply, in order."""
     out = col
-    for pattern, new in reversed(SPELLINGS):
-        out = F.when(col.rlike(pattern), F.regexp_replace(col, pattern, new)).otherwise(out)
+    for pattern, new in SPELLINGS:
+        out = F.regexp_replace(out, pattern, new)
     return F.when(F.char_length(col) >= 6, out).otherwise(F.when(col == "grey", "gray").otherwise(col))
 
 

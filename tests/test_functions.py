@@ -66,3 +66,9 @@ def test_pairs_without_a_rare_token(spark):
     items = spark.createDataFrame([(i, "alpha beta gamma delta") for i in range(3)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in scored_pairs(docs, items).collect()}
     assert got == {(d, i): s for d, s in ((1, 1.0), (2, 0.25)) for i in range(3)}
+
+
+def test_all_spelling_rules(spark):
+    words = {"modelling": "modeling", "palaeography": "paleography", "organised": "organize", "calibre": "caliber", "analysed": "analyze", "bisulphite": "bisulfite", "aelian": "aelian", "sulphurised": "sulfurize", "poet": "poet"}
+    df = spark.createDataFrame(list(words.items()), "word string, want string")
+    assert {r.word: r.got for r in df.select("word", t.fold_spelling(F.col("word")).alias("got")).collect()} == words
