@@ -7,9 +7,11 @@ a sequence) is solved by multiplicative weights: lengths that lag behind their s
 weight, an unbounded-knapsack dynamic program prices the best configuration for these
 weights, and the configuration is raised by a step, until the cover scaled by its least
 share is within ``GAP`` of the dual bound. The multiplicities are rounded, what stays over
-is solved again, and best fit over the remaining lengths closes the plan. The plan is a
-run-length list of (length, rank range) -> (sequence, offset), whose size also depends on
-``SIZE`` only.
+is solved again until few pieces are left, and best fit over those closes the plan. Where
+that needs more sequences than best fit over everything, the configurations with most
+pieces are taken back, as few as will do: short pieces are what fills the last rooms. The
+plan is a run-length list of (length, rank range) -> (sequence, offset), whose size also
+depends on ``SIZE`` only.
 
 Ranks of pieces of one length come from hash parts of a bounded expected size, so a
 frequent length is never gathered into one task.
@@ -37,8 +39,10 @@ from citeweave.llm.common import map_arrow, materialize, texts
 from citeweave.llm.segments import WHITE, segment_lists
 
 SIZE, END = 2048, 0
-#: The program is solved to this duality gap; softness of the weights; fewer pieces are left to best fit.
-GAP, EPSILON, LEAST_PIECES = 0.02, 4.0, 64
+#: The program is solved to this duality gap, a remainder to twice that; softness of the weights.
+GAP, EPSILON = 0.05, 4.0
+#: Passes end when so small a share of the pieces, or so few pieces, are left to best fit.
+REST_SHARE, LEAST_PIECES = 0.03, 64
 #: Expected pieces of a hash part, and the most parts of one length.
 ROWS_A_PART, MOST_PARTS = 256, 16_384
 #: Bytes of text that are numbered at once: more share more segments.
@@ -71,6 +75,9 @@ class Encoder:
         special = {t["id"] for t in model["added_tokens"] if t["special"]}
         table = {c: b for b, c in byte_alphabet().items()}
         vocab = tokenizer.get_vocab(with_added_tokens=False)
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError("merges are not in the order of the vocabulary")
         ranks = {bytes(table[c] for c in token): i for token, i in vocab.items() if i not in special}
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
@@ -180,7 +187,10 @@ def price(weights: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def configuration(first: int, dense: np.ndarray, best: np.ndarray, size: int) -> list[int]:
-    """Lengths of a sequence that starts with ``first`` (none if 0) and gains most by present weights and the prices ``best``."""
+    """Lengths of a sequence that starts with ``first`` (none if 0) and gains most by present weights and the prices ``best``.
+
+    Where that leaves room, one length grows by it if there is such a length: full sequences waste nothing.
+    """
     parts, c = [first] * (first > 0), size - first
     while c:
         gains = dense[1 : c + 1] + best[c - 1 :: -1][:c]
@@ -189,6 +199,11 @@ def configuration(first: int, dense: np.ndarray, best: np.ndarray, size: int) ->
             break
         parts.append(k)
         c -= k
+    room = size - sum(parts)
+    for i in range(len(parts) - 1, -1 if first == 0 else 0, -1) if room else ():
+        if dense[parts[i] + room] > -np.inf:
+            parts[i] += room
+            break
     return parts
 
 
@@ -274,18 +289,16 @@ def program(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[np.
     """(sequences of the program's configurations, those of best fit, duality gap of each pass).
 
     Multiplicities are rounded at random with a fixed seed, full sequences first, and
-    never exceed what is left; what stays over is solved again. Passes end when best fit
-    over the rest makes the whole as short as its tokens allow, when they place little or
-    when few pieces are left; the passes kept are those with the fewest sequences in all.
+    never exceed what is left; what stays over is solved again. The whole never has more
+    sequences than best fit alone.
     """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    least = -(-sum(k * n for k, n in left.items()) // size)
+    fewest, pieces_ = sum(n for _, n in best_fit(left, size)), sum(left.values())
     out: list[tuple[np.ndarray, int]] = []
-    rng, gaps, kept, rest = np.random.default_rng(7), [], 0, best_fit(left, size)
-    fewest = sum(n for _, n in rest)
-    while sum(left.values()) >= LEAST_PIECES:
+    rng, gaps = np.random.default_rng(7), []
+    while sum(left.values()) > max(REST_SHARE * pieces_, LEAST_PIECES):
         lengths = np.array(sorted(left))
-        solution, gap = solve(lengths, np.array([left[k] for k in lengths]), size)
+        solution, gap = solve(lengths, np.array([left[k] for k in lengths]), size, GAP if not gaps else 2 * GAP)
         gaps.append(float(gap))
         before = sum(k * n for k, n in left.items())
         for parts, x in sorted(solution, key=lambda s: (-sum(s[0]), -s[1], s[0])):
@@ -295,15 +308,34 @@ def program(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[np.
                 for k in parts:
                     left[k] -= times
         left = {k: n for k, n in left.items() if n}
-        more = best_fit(left, size)
-        total = sum(n for _, n in out) + sum(n for _, n in more)
-        if total <= fewest:
-            kept, rest, fewest = len(out), more, total
-        if total == least or sum(k * n for k, n in left.items()) > 0.75 * before:
+        if sum(k * n for k, n in left.items()) > 0.75 * before:
             break
-    if max(gaps, default=0) > GAP:
-        logging.getLogger(__name__).warning("configuration program: duality gap %.4f above %.4f", max(gaps), GAP)
-    return out[:kept], rest, gaps
+    if max(gaps, default=0) > 2 * GAP:
+        logging.getLogger(__name__).warning("configuration program: duality gap %.4f above %.4f", max(gaps), 2 * GAP)
+    out.sort(key=lambda s: (-int(s[0].sum()), len(s[0]), -int(s[0][-1])))
+    return *_taken_back(out, left, size, fewest), gaps
+
+
+def _taken_back(out: list, left: dict[int, int], size: int, fewest: int) -> tuple[list, list]:
+    """(the longest beginning of ``out`` found that needs no more than ``fewest`` sequences in all, best fit over the rest)."""
+
+    def after(keep: int) -> list[tuple[np.ndarray, int]]:
+        rest = Counter(left)
+        for parts, n in out[keep:]:
+            for k in parts.tolist():
+                rest[k] += n
+        return best_fit(rest, size)
+
+    def fits(keep: int) -> bool:
+        return sum(n for _, n in out[:keep]) + sum(n for _, n in after(keep)) <= fewest
+
+    low, high, step = len(out), len(out), max(1, len(out) // 64)
+    while low and not fits(low):  # at 0 best fit has everything
+        low, high, step = max(0, low - step), low, 2 * step
+    while high - low > max(1, len(out) // 200):
+        middle = (low + high) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle)
+    return out[:low], after(low)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[np.ndarray, int]]:
