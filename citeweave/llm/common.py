@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,22 +15,67 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of two 64-bit columns that a broadcast may hold at most: some 100 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; one of our own only where it is unset."""
+    """The shared folder named by the session; one of our own only in local mode, where all tasks share a disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
+def _database(spark: SparkSession) -> str:
+    """The database of this application's scratch tables, which lies in the shared folder."""
+    name = "citeweave_" + re.sub("[^a-z0-9]", "_", spark.sparkContext.applicationId.lower())
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{scratch_dir(spark)}/{name}'")
+    return name
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back.
+    """Write ``df`` as a table in the shared scratch folder and read it back.
 
     This cuts the lineage without tying results to one executor's disk, and
     leaves the reader free to choose its partitioning (a later join exchanges
     both sides itself, so adaptive execution can split a hot key).
     """
-    path = f"{scratch_dir(df.sparkSession)}/citeweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession)(df, tag)
+
+
+class Scratch:
+    """Written intermediate tables of one operator; leaving the context drops them and their files.
+
+    What an operator returns must be written outside of it, or before, by ``materialize``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        name = f"{_database(self.spark)}.{re.sub('[^a-z0-9]', '_', tag.lower())}_{uuid.uuid4().hex}"
+        df.write.format("parquet").saveAsTable(name)
+        written = self.spark.table(name)
+        self.names.append((written, name))
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Drop those of ``tables`` that were written here; nothing may read them any more."""
+        for df, name in [n for n in self.names if any(n[0] is t for t in tables)]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.names.remove((df, name))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*(df for df, _ in self.names))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it was counted to hold at most ``rows`` rows; else Spark chooses, and shuffles what is large."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(col: Column) -> Column:

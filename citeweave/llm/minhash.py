@@ -36,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_arrow, materialize, texts
+from citeweave.llm.common import Scratch, map_arrow, materialize, small, texts
 
 WORDS = 5
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: A bucket of so many members is compared in one task, a larger one in more, up to SALTS.
+ROWS_A_SALT, SALTS = 512, 256
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _HASHES: dict[bytes, int] = {}
 
@@ -133,7 +135,7 @@ def _read(text: str) -> tuple[int, int, np.ndarray]:
 
 
 def sign(df: DataFrame, id_type: str) -> DataFrame:
-    """(doc_id, k1, k2, n, bands): 128-bit name of the word sequence, set size, bucket names."""
+    """(doc_id, row_key, k1, k2, n, bands): 128-bit name of the word sequence, set size, bucket names."""
 
     def run(batch: pa.RecordBatch) -> dict:
         k1, k2, n, bands = [], [], [], []
@@ -143,9 +145,9 @@ def sign(df: DataFrame, id_type: str) -> DataFrame:
             k2.append(two)
             n.append(len(items))
             bands.append(band_keys(signature(items)) if len(items) else np.empty(0, np.int64))
-        return {"doc_id": batch.column("doc_id"), "k1": k1, "k2": k2, "n": n, "bands": _lists(bands)}
+        return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "k1": k1, "k2": k2, "n": n, "bands": _lists(bands)}
 
-    return map_arrow(df, run, f"doc_id {id_type}, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
+    return map_arrow(df, run, f"doc_id {id_type}, row_key bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
 
 def parity_marks(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,24 +176,26 @@ def shingles(df: DataFrame) -> DataFrame:
     return map_arrow(df, run, "k1 bigint, k2 bigint, items array<bigint>, marks array<bigint>, half array<bigint>", 2 << 20)
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+def components(edges: DataFrame, keep: Scratch, tag: str = "cc") -> DataFrame:
     """(nid, comp) for every node of ``edges`` (u, v): comp is the least node reachable.
 
     Labels spread by minimum over neighbours, then jump to their label's label; a
     round is one join and one pre-aggregated minimum, and its result is written.
     """
-    both = materialize(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{tag}-edges")
-    labels = materialize(both.groupBy(F.col("u").alias("nid")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), f"{tag}-0")
+    both = keep(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{tag}-edges")
+    labels = keep(both.groupBy(F.col("u").alias("nid")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), f"{tag}-0")
     step = 0
     while True:
         step += 1
         near = both.join(labels.select(F.col("nid").alias("v"), "comp"), "v").groupBy(F.col("u").alias("nid")).agg(F.min("comp").alias("near"))
-        spread = materialize(labels.join(near, "nid").select("nid", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")), f"{tag}-{step}a")
+        spread = keep(labels.join(near, "nid").select("nid", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")), f"{tag}-{step}a")
+        keep.drop(labels)
         jump = spread.select(F.col("nid").alias("comp"), F.col("comp").alias("further"))
-        labels = materialize(spread.join(jump, "comp").select("nid", F.col("further").alias("comp"), "old"), f"{tag}-{step}b")
+        labels = keep(spread.join(jump, "comp").select("nid", F.col("further").alias("comp"), "old"), f"{tag}-{step}b")
+        keep.drop(spread)
         if labels.filter("comp != old").limit(1).count() == 0:
+            keep.drop(both)
             return labels.select("nid", "comp")
-        labels = labels.select("nid", "comp")
 
 
 def _in_size(a: str, b: str, percent: int) -> F.Column:
@@ -228,7 +232,7 @@ def _mixed(seen: DataFrame) -> DataFrame:
     return by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "main")
 
 
-def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _possible(rest: DataFrame, sets: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     """Those members of buckets of several components that may have a partner in another one.
 
     Shingles that no other text there has can't be shared. With s of n shared at most, sets
@@ -238,70 +242,87 @@ def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     items = sets.join(rest.select("nid").distinct(), "nid").select("nid", F.explode("items").alias("item"))
     alone = items.groupBy("item").agg(F.count("*").alias("c"), F.min("nid").alias("nid")).filter("c = 1").groupBy("nid").agg(F.count("*").alias("alone"))
-    alone = materialize(alone, "alone")
+    alone = keep(alone, "alone")
     bound = F.floor(F.expr(f"(n - coalesce(alone, 0)) * {100 + percent} / {percent}") - F.col("n") + F.lit(1e-6))
-    bounded = materialize(rest.drop("bound").join(alone, "nid", "left").select("bucket", "nid", "n", "comp", bound.alias("bound")), "bounded")
+    bounded = keep(rest.drop("bound").join(alone, "nid", "left").select("bucket", "nid", "n", "comp", bound.alias("bound")), "bounded")
     least = bounded.groupBy("bucket").agg(F.min("n").alias("least"))
-    kept = materialize(bounded.join(least, "bucket").filter("bound >= least").drop("least"), "kept")
-    return materialize(kept.join(_mixed(kept).select("bucket"), "bucket"), "alive")
+    kept = keep(bounded.join(least, "bucket").filter("bound >= least").drop("least"), "kept")
+    alive = keep(kept.join(_mixed(kept).select("bucket"), "bucket"), "alive")
+    keep.drop(alone, bounded, kept, rest)
+    return alive
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``df``."""
-    docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+def _across(alive: DataFrame, sets: DataFrame, percent: int, keep: Scratch) -> DataFrame:
+    """Pairs (u, v) of different components in a bucket that their sizes and marks leave open.
+
+    A bucket of many members is dealt over ``SALTS`` tasks at most: one side by its node,
+    the other copied to each.
+    """
+    main = keep(_mixed(alive).join(alive.groupBy("bucket").agg(F.count("*").alias("held")), "bucket"), "mixed")
+    salts = F.least(F.ceil(F.col("held") / ROWS_A_SALT), F.lit(SALTS)).cast("int").alias("salts")
+    marked = keep(alive.join(sets.select("nid", "marks", "half"), "nid").join(main.select("bucket", "main", salts), "bucket"), "marked")
+    left = marked.filter("comp != main").selectExpr("bucket", "cast(pmod(hash(nid), salts) as int) salt", "nid u", "n un", "comp uc", "bound ub", "marks um", "half uh")
+    right = marked.selectExpr("bucket", "explode(sequence(0, salts - 1)) salt", "nid v", "n vn", "comp vc", "bound vb", "marks vm", "half vh", "main")
+    open_ = left.join(right, ["bucket", "salt"]).filter("uc != vc and (vc = main or u < v) and vn <= ub and un <= vb").filter(_in_size("un", "vn", percent)).filter(_may_link(percent))
+    return open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, with_rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
+
+    ``with_rows`` adds ``row_key`` (``xxhash64`` of the text as it stands) and ``grouped`` (the
+    component by number; null for a row without words), by which a row without an own id is known.
+    """
+    with Scratch(df.sparkSession) as keep:
+        out = _linked(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), percent, keep)
+        return materialize(out if with_rows else out.drop("row_key", "grouped"), "near")
+
+
+def _linked(docs: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(sign(docs, id_type), "signed")
-    groups = materialize(
-        signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")).withColumn("nid", F.monotonically_increasing_id()),
-        "groups",
-    )
+    signed = keep(sign(docs.withColumn("row_key", F.xxhash64("text")), id_type), "signed")
+    groups = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+    groups = keep(groups.withColumn("nid", F.monotonically_increasing_id()), "groups")
     # Buckets of the distinct texts; the rows of other copies stay behind.
     named = groups.select("k1", "k2", "first_id", "nid")
-    buckets = materialize(
-        signed.filter("n > 0").join(named, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("nid", "n", F.explode("bands").alias("bucket")),
-        "buckets",
-    )
-    active = materialize(buckets.groupBy("bucket").agg(F.min("nid").alias("near"), F.max("nid").alias("far"), F.count("*").alias("held")).filter("near < far").select("bucket", "held"), "active")
-    met = materialize(buckets.join(active, "bucket"), "met")
+    firsts = signed.filter("n > 0").join(named, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    buckets = keep(firsts.select("nid", "n", F.explode("bands").alias("bucket")), "buckets")
+    active = buckets.groupBy("bucket").agg(F.min("nid").alias("near"), F.max("nid").alias("far"), F.count("*").alias("held")).filter("near < far").select("bucket", "held")
+    met = keep(buckets.join(active, "bucket"), "met")
+    keep.drop(buckets)
     # The text of which many are copies meets them in more buckets than they meet each other:
     # the member that meets most is the centre.
-    weight = materialize(met.groupBy("nid").agg(F.sum("held").alias("meets")), "weight")
-    members = materialize(met.join(weight, "nid").select("bucket", "nid", "n", "meets"), "members")
-    centres = materialize(members.groupBy("bucket").agg(F.max(F.struct("meets", "nid", "n")).alias("c")).select("bucket", F.col("c.nid").alias("centre"), F.col("c.n").alias("cn")), "centres")
+    weight = met.groupBy("nid").agg(F.sum("held").alias("meets"))
+    members = keep(met.join(weight, "nid").select("bucket", "nid", "n", "meets"), "members")
+    keep.drop(met)
+    centres = keep(members.groupBy("bucket").agg(F.max(F.struct("meets", "nid", "n")).alias("c")).select("bucket", F.col("c.nid").alias("centre"), F.col("c.n").alias("cn")), "centres")
     stars = members.join(centres, "bucket").filter(F.col("nid") != F.col("centre")).filter(_in_size("n", "cn", percent))
-    stars = materialize(stars.select(F.least("centre", "nid").alias("u"), F.greatest("centre", "nid").alias("v")).distinct(), "stars")
+    stars = keep(stars.select(F.least("centre", "nid").alias("u"), F.greatest("centre", "nid").alias("v")).distinct(), "stars")
     # Full sets of the texts in any active bucket, once each.
-    wanted = members.select("nid").distinct().join(groups, "nid").select("nid", "k1", "k2", "first_id")
-    wanted = materialize(wanted, "wanted")
+    wanted = keep(members.select("nid").distinct().join(groups, "nid").select("nid", "k1", "k2", "first_id"), "wanted")
     ids = wanted.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
-    chosen = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
-    sets = materialize(shingles(chosen).join(wanted, ["k1", "k2"]).select("nid", "items", "marks", "half").dropDuplicates(["nid"]), "sets")
+    chosen = docs.join(small(ids), "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
+    sets = keep(shingles(chosen).join(small(wanted.drop("first_id")), ["k1", "k2"]).select("nid", "items", "marks", "half").dropDuplicates(["nid"]), "sets")
 
-    links = materialize(_confirm(stars, sets, percent), "links")
-    comps = components(links, "cc1")
+    links = keep(_confirm(stars, sets, percent), "links")
+    comps = components(links, keep, "cc1")
     # Members of buckets in which several components are left.
-    seen = materialize(members.join(comps, "nid", "left").select("bucket", "nid", "n", F.coalesce("comp", "nid").alias("comp")), "seen")
-    alive, size = materialize(seen.join(_mixed(seen).select("bucket"), "bucket"), "rest"), None
+    seen = keep(members.join(comps, "nid", "left").select("bucket", "nid", "n", F.coalesce("comp", "nid").alias("comp")), "seen")
+    alive, size = keep(seen.join(_mixed(seen).select("bucket"), "bucket"), "rest"), None
+    keep.drop(members, centres, seen, wanted)
     while size is None or alive_rows < 0.8 * size:
         size = alive.count()
-        alive = _possible(alive, sets, percent)
+        alive = _possible(alive, sets, percent, keep)
         alive_rows = alive.count()
-    main = materialize(_mixed(alive), "mixed")
-    marked = materialize(alive.join(sets.select("nid", "marks", "half"), "nid").join(main, "bucket"), "marked")
-    left = marked.filter("comp != main").selectExpr("bucket", "nid u", "n un", "comp uc", "bound ub", "marks um", "half uh")
-    right = marked.selectExpr("bucket", "nid v", "n vn", "comp vc", "bound vb", "marks vm", "half vh", "main")
-    across = left.join(right, "bucket").filter("uc != vc and (vc = main or u < v) and vn <= ub and un <= vb").filter(_in_size("un", "vn", percent)).filter(_may_link(percent))
-    across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = materialize(_confirm(across.join(stars, ["u", "v"], "left_anti"), sets, percent), "more")
+    across = keep(_across(alive, sets, percent, keep), "across")
+    more = keep(_confirm(across.join(stars, ["u", "v"], "left_anti"), sets, percent), "more")
     if more.limit(1).count():
-        comps = components(links.unionByName(more), "cc2")
-
-    grouped = groups.join(comps, "nid", "left").select("k1", "k2", "first_id", F.coalesce("comp", "nid").alias("comp"))
-    grouped = materialize(grouped, "grouped")
-    names = materialize(grouped.groupBy("comp").agg(F.min("first_id").alias("component_id")), "names")
-    named = materialize(grouped.join(names, "comp").select("k1", "k2", "component_id", F.lit(True).alias("linked")), "named")
-    out = signed.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
-
-
+        comps = components(links.unionByName(more), keep, "cc2")
+
+    grouped = keep(groups.join(comps, "nid", "left").select("k1", "k2", "first_id", F.coalesce("comp", "nid").alias("comp")), "grouped")
+    names = grouped.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    named = grouped.join(names, "comp").select("k1", "k2", "component_id", F.col("comp").alias("grouped"))
+    out = signed.select("doc_id", "row_key", "k1", "k2", "n").join(named, ["k1", "k2"], "left")
+    component = F.when(F.col("grouped").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "row_key", "grouped")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_arrow, materialize, texts
+from citeweave.llm.common import Scratch, map_arrow, texts
 
 STATISTICS = (
     "log_chars", "log_words", "log_lines", "mean_word", "long_words", "distinct_words", "top_word", "top_pair",
@@ -117,7 +117,11 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def learn(stats: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", label_col: str = "quality", seed: int = 5) -> Classifier:
     """Fit on all labelled rows for which ``allowed`` (of the labels' id) holds."""
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).filter("doc_id is not null and label is not null").filter(allowed)
-    rows = materialize(known.join(stats, "doc_id").select("label", "stats"), "quality-train")
+    with Scratch(stats.sparkSession) as keep:
+        return _fit(keep(known.join(stats, "doc_id").select("label", "stats"), "quality-train"), seed)
+
+
+def _fit(rows: DataFrame, seed: int) -> Classifier:
     d = len(STATISTICS)
     moments = [f(F.get("stats", F.lit(k))) for k in range(d) for f in (F.avg, F.stddev_pop)]
     got = rows.agg(F.count("*"), F.avg("label"), *moments).first()
