@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept and, but for the last, returns rows with the
 columns of ``documents``. A stage's decision is part of its result: rejected and duplicate
 documents are gone, secrets are masked.
+
+Decisions are made by row, not by id: a row is known by its id and the hash of its text.
+Rows without an id and rows that share one take part as any; of a group one row stays,
+also where several rows have the id that is kept. Null texts count as empty. Extra columns
+are carried along unread. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,34 +16,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm import exact, minhash, packing, quality, secrets
-from citeweave.llm.common import materialize
+from citeweave.llm.common import Scratch, materialize, small
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; the classifier learns from all labelled documents."""
-    labels, name = spark.read.parquet(f"{sf_dir}/labels.parquet"), "_statistics"
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
-    # Texts are read once and never shuffled: only the statistics meet the labels.
-    measured = materialize(docs.withColumn(name, quality.statistics_of(F.col("text"))), "measured")
-    model = quality.learn(measured.select("doc_id", F.col(name).alias("stats")), labels, F.lit(True))
-    return quality.keep_good(measured, model, stats_col=name).select(docs.columns)
+    """Documents that the classifier rejects go; the classifier learns from all labelled documents.
+
+    Null and empty texts get a score like any. Without labels of both classes all rows get
+    the labels' mean (1 if there are none).
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    with Scratch(spark) as keep:
+        # Statistics alone are written and meet the labels; texts are never shuffled.
+        model = quality.learn(keep(quality.document_statistics(docs), "statistics"), labels, F.lit(True))
+    return quality.keep_good(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal documents the one with the largest id stays."""
-    return _chosen(docs, exact.exact_duplicates(docs))
+    """Of equal documents (A-Z lower-cased) one row with the largest id stays; empty texts are one group."""
+    return _one_of_each(docs, exact.exact_duplicates(docs, with_rows=True))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays."""
-    return _chosen(docs, minhash.near_duplicates(docs))
+    """Of linked documents one row with the smallest id stays; rows without words all stay."""
+    return _one_of_each(docs, minhash.near_duplicates(docs, with_rows=True))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; ``n_chars`` follows the text."""
+    """Secrets are masked; ``n_chars`` follows the text (null stays null)."""
     masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +55,29 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows whose id is kept. A row without an id can't be named in a decision and stays."""
-    kept = materialize(decisions.filter("kept").select("doc_id").distinct(), "kept")
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+def _one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are kept, one of each group.
+
+    ``decisions`` has a row (doc_id, row_key, kept, grouped) for every row of ``docs``. Only
+    decisions against rows are joined, so few of them have to meet the texts.
+    """
+    key = ["doc_id", "row_key"]
+    dropped = materialize(decisions.filter("not kept").select(*key).distinct().withColumn("one_of", F.lit(None).cast("string")), "dropped")
+    # Groups in which several rows have the id that is kept, or none has an id.
+    kept = decisions.filter("kept and grouped is not null").withColumn("one_of", F.col("grouped").cast("string"))
+    several = kept.groupBy("one_of").agg(F.count("*").alias("n")).filter("n > 1").select("one_of")
+    thinned = materialize(kept.select(*key, "one_of").join(several, "one_of", "left_semi").select(*key, "one_of").distinct(), "thinned")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    lead = "decided"  # begins the names of decisions, and of no column of ``docs``
+    while any(c.lower().startswith(lead) for c in docs.columns):
+        lead += "_"
+    match = docs["doc_id"].eqNullSafe(F.col(f"{lead}0")) & (F.xxhash64(docs["text"]) == F.col(f"{lead}1"))
+    against, among = (small(d.toDF(*(f"{lead}{k}" for k in range(3)))) for d in (dropped, thinned))
+    stay = docs.join(against, match, "left_anti")
+    if not thinned.limit(1).count():
+        return stay.select(own)
+    some = docs.join(among, match).select(F.struct(*own).alias("row"), f"{lead}2").dropDuplicates([f"{lead}2"])
+    return stay.join(among, match, "left_anti").select(own).unionByName(some.select("row.*"))
 
 
 STAGES = [
@@ -63,7 +88,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Classification, tokenising and packing can't be expressed in SQL; tests hold the stages against brute force.
+#: Classification, tokenising and packing can't be expressed in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
