@@ -6,8 +6,13 @@ terms which matter only together (an insult and a mention of a group) are learnt
 weights are fitted by proximal steps with an L1 penalty: terms without evidence get zero exactly,
 so long texts do not gather noise.
 
-The fit takes a bounded sample of labelled rows (``SAMPLE`` ids with the least hash, a
-documented bound); scoring reads every row and whole text.
+Terms get a vector by evidence of their own, or by joint evidence: over the residuals of
+the additive weights, every pair of the ``JOINT`` most frequent words is tested, so words
+that say nothing alone and much together (a xor b) are learnt too.
+
+The fit takes a bounded sample of labelled rows (``SAMPLE`` rows with the least hash and
+``SAMPLE_BYTES`` of their terms, documented bounds, as is ``JOINT``); scoring reads every
+row and whole text.
 
 Results: null and empty texts get the score of no terms. Null labels and null ids are not
 learnt from. Repeated rows are scored alike. Extra columns are never read.
@@ -24,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_arrow, texts
+from citeweave.llm.common import Scratch, map_arrow, texts
 
 BUCKETS = 1 << 20
 FACTORS = 4
 #: Labelled rows that a fit takes at most.
 SAMPLE = 12_000
+#: Bytes of hashed terms that a fit takes at most; the most frequent words whose pairs are tested.
+SAMPLE_BYTES, JOINT = 48 << 20, 3_000
 THRESHOLD = 0.7
 _TERM = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms beside the word itself.
@@ -90,34 +97,82 @@ def evidence(count: np.ndarray, bad: np.ndarray, n: int, positives: float) -> np
     return np.abs(np.log(inside * rest_out / (outside * rest_in))) / np.sqrt(1 / inside + 1 / outside + 1 / rest_in + 1 / rest_out)
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 200, l1: float = 3e-4, decay: float = 1e-3, seed: int = 11) -> Machine:
+def joint_terms(inverse: np.ndarray, row: np.ndarray, count: np.ndarray, residual: np.ndarray, joint: int) -> np.ndarray:
+    """Terms of pairs whose joint residual is evidence, among the ``joint`` most frequent terms.
+
+    z of a pair is the sum of the residuals of the texts that hold both over its standard
+    deviation; the limit is what the greatest of so many chance values would hardly reach.
+    Terms that the same texts hold (a word and its beginning) are one.
+    """
+    few = np.argsort(-count, kind="stable")[:joint]
+    few = few[(count[few] >= 8) & (count[few] <= 0.9 * len(residual))]
+    place = np.full(len(count), -1)
+    place[few] = np.arange(len(few))
+    keep = place[inverse] >= 0
+    at, row = place[inverse[keep]], row[keep]
+    total, both = np.zeros((len(few), len(few)), np.float32), np.zeros((len(few), len(few)), np.float32)
+    for start in range(0, len(residual), 512):
+        some = (row >= start) & (row < start + 512)
+        x = np.zeros((min(512, len(residual) - start), len(few)), np.float32)
+        x[row[some] - start, at[some]] = 1
+        e = residual[start : start + 512].astype(np.float32)[:, None]
+        total += x.T @ (x * e)
+        both += x.T @ (x * e * e)
+    z = np.abs(total) / np.sqrt(both + 1e-3)
+    z[both < 8 * np.mean(residual**2)] = 0
+    np.fill_diagonal(z, 0)
+    limit = np.sqrt(2 * np.log(max(2, len(few) ** 2 / 2))) + 1.5
+    # What a term's own residual explains is no interaction: its pairs must stand out against it.
+    alone = np.abs(np.diag(total)) / np.sqrt(np.diag(both) + 1e-3)
+    strong = z > np.maximum(limit, 1.5 * np.minimum(alone[:, None], alone[None, :]))
+    return few[strong.any(axis=1)]
+
+
+def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 200, l1: float = 3e-4, decay: float = 1e-3, seed: int = 11, joint: int = JOINT) -> Machine:
     """Full-batch proximal Adagrad steps on the logistic loss.
 
     The L1 penalty of a term falls with the evidence for it, so that plain terms vanish
-    and telling ones are hardly shrunk; terms with some evidence may interact.
+    and telling ones are hardly shrunk; terms with some evidence, alone or jointly, may
+    interact. ``joint`` 0 leaves joint evidence out.
     """
     if not len(labels) or labels.min() == labels.max():
         base = float(labels.mean()) if len(labels) else 0.0
         return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)), float(np.log((base + 1e-3) / (1 - base + 1e-3))))
     n = len(labels)
-    flat, row = np.concatenate(samples), np.repeat(np.arange(n), [len(s) for s in samples])
+    flat, row = np.concatenate(samples), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in samples])
     index, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    inverse = inverse.astype(np.int32)
     z = evidence(count, np.bincount(inverse, labels[row], len(index)), n, labels.sum())
-    common = (count >= 3) & (z >= 1)  # a term of one or two texts is no evidence
-    keep = common[inverse]
-    index, inverse, row, z = index[common], (np.cumsum(common) - 1)[inverse[keep]], row[keep], z[common]
-    m = len(index)
-    paired = z >= 2.5  # terms that may interact
-    penalty = l1 * np.minimum(16, (4 / z) ** 4)
+    told = (count >= 3) & (z >= 1)  # a term of one or two texts is no evidence
+    paired = told & (z >= 2.5)  # terms that may interact
+    keep = told[inverse]
+    bias = float(np.log(labels.mean() / (1 - labels.mean())))
+    _, w, v, b = _descend(row[keep], inverse[keep], labels, told, paired & False, z, bias, epochs // 3 if joint else 0, l1, decay, seed)
+    if joint:
+        margin = b + np.bincount(row, w[inverse], n)
+        together = joint_terms(inverse, row, count, labels - 1 / (1 + np.exp(-np.clip(margin, -30, 30))), joint)
+        told[together] = paired[together] = True
+        z[together] = np.maximum(z[together], 4)
+    keep = told[inverse]
+    used, w, v, bias = _descend(row[keep], inverse[keep], labels, told, paired, z, bias, epochs, l1, decay, seed)
+    return Machine(index[used], w[used], v[used], bias)
+
+
+def _descend(row, inverse, labels, told, paired, z, bias, epochs, l1, decay, seed) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(used, weights, vectors, bias) over all terms after ``epochs`` steps on those ``told``."""
+    place = np.cumsum(told) - 1
+    inverse, some, paired, n = place[inverse], np.flatnonzero(told), paired[told], len(labels)
+    m = len(some)
+    penalty = l1 * np.minimum(16, (4 / z[told]) ** 4)
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)) * paired[:, None], float(np.log(labels.mean() / (1 - labels.mean())))
+    w, v = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)) * paired[:, None]
     gw, gv, gb = np.full(m, 1e-8), np.full((m, FACTORS), 1e-8), 1e-8
+    on = paired[inverse]
+    r, i = row[on], inverse[on]
     for epoch in range(epochs):
         margin = bias + np.bincount(row, w[inverse], n)
         sums = []
-        if pairs := epoch >= epochs // 3:  # interactions join once linear weights stand
-            on = v.any(axis=1)[inverse]
-            r, i = row[on], inverse[on]
+        if pairs := epoch >= epochs // 3 and len(i) > 0:  # interactions join once linear weights stand
             for k in range(FACTORS):
                 vi = v[i, k]
                 sums.append(np.bincount(r, vi, n))
@@ -135,21 +190,29 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 200, l1: fl
                 g = np.bincount(i, error[r] * (sums[k][r] - v[i, k]), m) / n + decay * v[:, k]
                 gv[:, k] += g * g
                 v[:, k] -= 0.05 * g / np.sqrt(gv[:, k]) * paired
-    used = (w != 0) | v.any(axis=1)
-    return Machine(index[used], w[used], v[used], bias)
+    weights, vectors = np.zeros(len(told)), np.zeros((len(told), FACTORS))
+    weights[some], vectors[some] = w, v
+    return (weights != 0) | vectors.any(axis=1), weights, vectors, bias
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows for which ``allowed`` (of the labels' id) holds."""
+    """Fit on at most ``sample`` labelled rows for which ``allowed`` (of the labels' id) holds, and ``SAMPLE_BYTES`` of their terms."""
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).filter("doc_id is not null and label is not null").filter(allowed)
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(sample)
     # At most ``sample`` ids: a broadcast of a proven size.
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    text = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = text.select(F.xxhash64(F.col("doc_id").cast("string"), "text", "label").alias("order"), "label", "text")
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"label": batch.column("label"), "terms": [np.sort(terms(t)).astype("<i4").tobytes() for t in texts(batch)]}
-
-    got = map_arrow(rows, run, "label int, terms binary").orderBy("terms", "label").limit(sample).collect()
+        made = [np.sort(terms(t)).astype("<i4").tobytes() for t in texts(batch)]
+        return {"order": batch.column("order"), "label": batch.column("label"), "terms": made, "size": [len(m) for m in made]}
+
+    with Scratch(docs.sparkSession) as keep:
+        made = keep(map_arrow(rows, run, "order bigint, label int, terms binary, size bigint"), "toxic-train")
+        # Rows with the least hash, as many as the bounds allow: an id that many rows have is sampled as any.
+        sizes = made.orderBy("order").select("order", "size").limit(sample).collect()
+        fits = [r[0] for r, total in zip(sizes, np.cumsum([r[1] for r in sizes]), strict=True) if total <= SAMPLE_BYTES]
+        got = made.filter(F.col("order") <= fits[-1]).orderBy("order").limit(len(fits)).select("label", "terms").collect() if fits else []
     return fit([np.frombuffer(r[1], "<i4").astype(np.int64) for r in got], np.array([float(r[0]) for r in got]))
 
 
