@@ -1,13 +1,17 @@
 """Media columns: TIFF files walked directory by directory, one row a page.
 
 The reader follows the chain of image directories of a file in either byte order,
-decodes strips or tiles that are stored plainly, as PackBits, LZW or deflate, and undoes
-horizontal differencing of 8- and 16-bit samples. The writer stores pages losslessly in
-the same schemes; it serves tests and stores payloads.
-
-Results: a null or damaged file gives one row with page -1 and the reason in ``error``
-(rows are never lost); an empty table gives an empty result. Repeated rows are read each
-time. Extra columns are never read. A chain of directories that runs in a circle ends.
+decodes strips or tiles that are stored plainly, as PackBits, LZW or deflate, unpacks
+samples of 1, 2, 4, 8, 16 and 32 bits, chunky or in planes, and undoes horizontal
+differencing and the floating-point predictor. The writer stores pages of 8- and 16-bit
+samples losslessly in the same schemes; it serves tests and stores payloads.
+
+Results: a page that can't be read gives a row with its number and the reason in
+``error``, and reading goes on with the next directory. A null file, one without
+directories or one whose chain breaks gives a row with page -1 (rows are never lost); an
+empty table gives an empty result. Repeated rows are read each time. Extra columns are
+never read. A chain of directories that runs in a circle ends. A page of more than
+``MOST_BYTES`` of samples is an error, found before any memory is taken for it.
 """
 
 from __future__ import annotations
@@ -25,9 +29,13 @@ from citeweave.llm.common import map_arrow, texts
 
 #: Tags, field types and compression schemes of TIFF 6.0 (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_SIZES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES = 322, 323, 324, 325
+TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, FORMAT = 322, 323, 324, 325, 339
 FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: Samples of one page, in bytes, that a reader takes at most.
+MOST_BYTES = 1 << 28
+#: What a damaged file can raise.
+BROKEN = (ValueError, struct.error, zlib.error, MemoryError, IndexError, TypeError, OverflowError)
 NAMES = {PLAIN: "plain", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 
 
@@ -147,7 +155,7 @@ def decompress(data: bytes, scheme: int, size: int) -> bytes:
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """(byte order, tag -> values) of each image directory."""
+    """(byte order, tag -> values) of each image directory; entries of unknown type or without values are left out."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -158,51 +166,71 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         tags = {}
         for k in range(count):
             tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in FIELDS:
+            if kind in FIELDS and 0 < n <= len(data):
                 form = f"{order}{n}{FIELDS[kind]}"
                 size = struct.calcsize(form)
                 where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-                tags[tag] = struct.unpack_from(form, data, where)
+                if where + size <= len(data):
+                    tags[tag] = struct.unpack_from(form, data, where)
         yield order, tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
 
 
-def _undo(block: np.ndarray, predictor: int) -> np.ndarray:
-    """Sums along rows of (rows, width, samples)."""
-    if predictor == 1:
-        return block
-    if predictor != 2:
-        raise ValueError(f"predictor {predictor} is not known")
-    return np.cumsum(block, axis=1, dtype=block.dtype)
+def _undo(raw: bytes, kind: np.dtype, bits: int, shape: tuple[int, int, int], predictor: int) -> np.ndarray:
+    """Samples (rows, width, samples) of an unpacked strip or tile."""
+    h, w, samples = shape
+    if predictor not in (1, 2, 3) or (predictor == 3 and kind.kind != "f") or (predictor == 2 and (bits < 8 or kind.kind == "f")):
+        raise ValueError(f"predictor {predictor} is not known for these samples")
+    if predictor == 3:  # rows of differenced bytes, the highest bytes of all samples first
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(h, -1), axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(planes.reshape(h, kind.itemsize, w * samples).transpose(0, 2, 1)).view(">f" + str(kind.itemsize)).astype(kind.newbyteorder("=")).reshape(shape)
+    if bits < 8:
+        rows = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(h, -1), axis=1)[:, : w * samples * bits]
+        return np.packbits(np.pad(rows.reshape(h, -1, bits), ((0, 0), (0, 0), (8 - bits, 0))), axis=2).reshape(shape)
+    block = np.frombuffer(raw, kind).astype(kind.newbyteorder("=")).reshape(shape)
+    return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
 
 
 def page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[np.ndarray, dict]:
     """Samples (height, width, samples) of one directory and how they were stored."""
-    one = lambda tag, default: tags.get(tag, (default,))[0]
+
+    def one(tag: int, default: int) -> int:
+        value = tags.get(tag, (default,))[0]
+        if not isinstance(value, int):
+            raise ValueError(f"tag {tag} is no whole number")
+        return value
+
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
-    scheme, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, ())) or (samples > 1 and one(PLANAR, 1) != 1):
-        raise ValueError("only chunky samples of 8 or 16 bits are read")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-    out = np.zeros((height, width, samples), kind.newbyteorder("="))
-    if TILES in tags:
+    scheme, predictor, form, planar = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(FORMAT, 1), one(PLANAR, 1) == 2
+    if bits not in (1, 2, 4, 8, 16, 32) or any(b != bits for b in tags.get(BITS, ())) or (form == 3 and bits != 32):
+        raise ValueError("only samples of 1, 2, 4, 8, 16 or 32 bits of one size are read")
+    if width < 1 or height < 1 or samples < 1 or width * height * samples * max(bits // 8, 1) > MOST_BYTES:
+        raise ValueError("the page has no size or is too large")
+    kind = np.dtype(np.uint8) if bits <= 8 else np.dtype(order + ("f" if form == 3 else "u") + str(bits // 8))
+    chunk = 1 if planar else samples  # samples that stand together
+    tiled = TILES in tags
+    if tiled:
         w, h = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
-        if w < 1 or h < 1:
-            raise ValueError("tiles have no size")
-        across = -(-width // w)
-        boxes = [((k // across) * h, (k % across) * w, h, w) for k in range(len(tags[TILES]))]
+        if w < 1 or h < 1 or w * h * chunk * max(bits // 8, 1) > MOST_BYTES:
+            raise ValueError("tiles have no size or are too large")
+        boxes = [(top, left, h, w) for top in range(0, height, h) for left in range(0, width, w)]
         places, sizes = tags[TILES], tags.get(TILE_SIZES, ())
     else:
         h = max(1, min(one(STRIP_ROWS, height), height))
+        boxes = [(top, 0, min(h, height - top), width) for top in range(0, height, h)]
         places, sizes = tags.get(STRIPS, ()), tags.get(STRIP_SIZES, ())
-        boxes = [(k * h, 0, min(h, height - k * h), width) for k in range(len(places))]
-    if sum(1 for b in boxes if b[0] < height) < -(-height // h) or len(sizes) < len(places):
+    if min(len(places), len(sizes)) < len(boxes) * (samples if planar else 1):
         raise ValueError("strips or tiles are missing")
-    for (top, left, h, w), place, size in zip(boxes, places, sizes, strict=False):
-        raw = decompress(data[place : place + size], scheme, h * w * samples * kind.itemsize)
-        block = _undo(np.frombuffer(raw, kind).astype(kind.newbyteorder("=")).reshape(h, w, samples), predictor)
-        out[top : top + h, left : left + w] = block[: height - top, : width - left]
-    return out, {"width": width, "height": height, "samples": samples, "bits": bits, "compression": NAMES.get(scheme, str(scheme)), "predictor": predictor, "tiled": TILES in tags}
+    out = np.zeros((height, width, samples), kind.newbyteorder("="))
+    for number, (place, size) in enumerate(zip(places, sizes, strict=False)):
+        plane, k = divmod(number, len(boxes))
+        if plane >= (samples if planar else 1):
+            break
+        top, left, h, w = boxes[k]
+        raw = decompress(data[place : place + size], scheme, h * (-(-w * chunk * bits // 8)))
+        block = _undo(raw, kind, bits, (h, w, chunk), predictor)[: height - top, : width - left]
+        out[top : top + h, left : left + w, plane : plane + chunk] = block
+    return out, {"width": width, "height": height, "samples": samples, "bits": bits, "compression": NAMES.get(scheme, str(scheme)), "predictor": predictor, "tiled": tiled}
 
 
 def read(data: bytes) -> list[tuple[np.ndarray, dict]]:
@@ -267,11 +295,18 @@ def read_pages(df: DataFrame, id_col: str = "id", content_col: str = "content")
                 out[name].append(value)
 
         for key, content in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            number = -1
             try:
                 for number, (order, tags) in enumerate(directories(content or b"")):
-                    pixels, facts = page(content, order, tags)
-                    add(key, number, facts, pixels.tobytes(), None)
-            except (ValueError, struct.error, zlib.error, MemoryError) as e:
+                    try:
+                        pixels, facts = page(content, order, tags)
+                    except BROKEN as e:
+                        add(key, number, {}, None, str(e) or type(e).__name__)
+                    else:
+                        add(key, number, facts, pixels.tobytes(), None)
+                if number < 0:
+                    add(key, -1, {}, None, "no image directory")
+            except BROKEN as e:
                 add(key, -1, {}, None, str(e) or type(e).__name__)
         return out
 
@@ -290,10 +325,15 @@ def payload(text: str) -> bytes:
     return data.ljust(max(1, -(-len(data) // LINE)) * LINE, b" ")
 
 
+#: (compression, predictor, byte order, tile) of stored payloads, by their CRC-32: all ways are in use.
+FORMS = ((DEFLATE, 1, "<", None), (LZW, 2, "<", None), (PACKBITS, 1, ">", None), (DEFLATE, 2, ">", (64, 64)))
+
+
 def store(data: bytes) -> bytes:
-    """A payload as a grey image of ``LINE`` samples a row, deflated."""
+    """A payload as a grey image of ``LINE`` samples a row, in one of ``FORMS``."""
     image = np.frombuffer(data, np.uint8).reshape(-1, LINE)
-    return write([image[top : top + PAGE_ROWS] for top in range(0, len(image), PAGE_ROWS)], DEFLATE)
+    scheme, predictor, order, tile = FORMS[zlib.crc32(data) % len(FORMS)]
+    return write([image[top : top + PAGE_ROWS] for top in range(0, len(image), PAGE_ROWS)], scheme, predictor, order, tile=tile)
 
 
 def feature(pages: list[tuple[np.ndarray, dict]]) -> str:
@@ -303,7 +343,7 @@ def feature(pages: list[tuple[np.ndarray, dict]]) -> str:
     total = int(every.sum(dtype=np.int64))
     square = int(np.dot(np.bincount(every, minlength=256), np.arange(256, dtype=np.int64) ** 2))
     n = len(every)
-    return f"pages={len(pages)};rows={n // LINE};{pages[0][1]['compression']};mean={total / n:.4f};var={square / n - (total / n) ** 2:.4f};bands=" + ",".join(map(str, bands))
+    return f"pages={len(pages)};rows={n // LINE};{pages[0][1]['compression']};predictor={pages[0][1]['predictor']};tiled={pages[0][1]['tiled']};mean={total / n:.4f};var={square / n - (total / n) ** 2:.4f};bands=" + ",".join(map(str, bands))
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
