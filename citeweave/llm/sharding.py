@@ -1,13 +1,17 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows with equal texts form a group. A group is placed whole unless it alone outweighs
-an eighth of a shard; then it is cut into pieces by a hash of the id. Light groups travel
+an eighth of a shard; then it is cut into pieces by a hash of the row. Light groups travel
 in hash bundles, heavy ones singly, so that the number of items to place has a bound that
 does not depend on the data: ``BUNDLES`` bundles and fewer than ``HEAVY`` single groups
 (each outweighs 1/HEAVY of the total) with their pieces. Items go to shards largest
-first, each where the dot product of its vector with the residual capacity is highest;
-items whose bytes no longer fit a shard's residual go where most bytes are left. Then
-items swap or move while that brings the byte sizes of the fullest and emptiest nearer.
+first, each where the dot product of its vector with the residual capacity is highest
+among the shards in which it fits in all three dimensions; one that fits nowhere goes where
+most is left of what it exceeds least. Then items swap or move between two shards while
+that lowers the squared deviations in all three, at last with bytes before all.
+
+Tokens stand for runs of characters other than white space: what a tokeniser would count
+costs more than all the rest, and grows with it.
 
 Slots number a shard's rows without gaps: each row has a rank in its (shard, part), the
 parts being hash parts of a bounded expected size, and parts start after one another.
@@ -33,8 +37,8 @@ HEAVY = 24 * 512
 PIECE_SHARE = 8
 #: Expected rows of a hash part of a shard, and the most parts of a shard.
 ROWS_A_PART, MOST_PARTS = 2048, 65_536
-#: Weights of bytes, tokens and rows in the dot product; bytes are what the law holds.
-WEIGHTS = (4.0, 1.0, 1.0)
+#: Weights of bytes, tokens and rows in the squared deviations, in turn; bytes are what the law holds.
+WEIGHTS = ((1.0, 1.0, 1.0), (10_000.0, 1.0, 1.0))
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -42,58 +46,67 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     capacity = np.maximum(vectors.sum(axis=0) / shards, 1e-9)
     items = vectors / capacity
     residual = np.ones((shards, items.shape[1]))
-    weights = np.array(WEIGHTS[: items.shape[1]])
     where = np.zeros(len(items), np.int64)
-    for i in np.argsort(-items[:, 0], kind="stable"):
-        fits = residual[:, 0] >= items[i, 0]
-        score = np.where(fits, residual @ (items[i] * weights), -np.inf) if fits.any() else residual[:, 0]
-        s = int(np.argmax(score))
+    for i in np.argsort(-items.max(axis=1), kind="stable"):
+        room = (residual - items[i]).min(axis=1)
+        s = int(np.argmax(np.where(room >= 0, residual @ items[i], -np.inf) if (room >= 0).any() else room))
         where[i] = s
         residual[s] -= items[i]
-    return level(vectors[:, 0], where, shards)
+    for weights in WEIGHTS:
+        where = level(items, where, shards, np.array(weights))
+    return where
+
 
+def level(items: np.ndarray, where: np.ndarray, shards: int, weights: np.ndarray, steps: int = 4_000, tried: int = 96) -> np.ndarray:
+    """Swap or move items between two shards while that lowers their weighted squared deviations.
 
-def level(sizes: np.ndarray, where: np.ndarray, shards: int, steps: int = 400) -> np.ndarray:
-    """Swap or move items between the fullest and the emptiest shard while that brings them nearer."""
-    load = np.bincount(where, sizes, shards)
-    for _ in range(steps):
-        hi, lo = int(np.argmax(load)), int(np.argmin(load))
-        gap = load[hi] - load[lo]
-        mine, theirs = np.flatnonzero(where == hi), np.flatnonzero(where == lo)
-        theirs = theirs[np.argsort(sizes[theirs], kind="stable")]
-        given, back = sizes[mine], np.concatenate([[0.0], sizes[theirs]])  # nothing back: a move
-        at = np.clip(np.searchsorted(back, given - gap / 2), 1, len(back) - 1) if len(back) > 1 else np.zeros(len(given), int)
-        both = np.stack([at, np.maximum(at - 1, 0)])
-        off = np.abs(given - back[both] - gap / 2)
-        side, k = np.unravel_index(int(off.argmin()), off.shape) if off.size else (0, 0)
-        if not off.size or off[side, k] >= gap / 2:
-            break
-        j = int(both[side, k])
-        moved = given[k] - back[j]
-        where[mine[k]] = lo
-        if j:
-            where[theirs[j - 1]] = hi
-        load[hi] -= moved
-        load[lo] += moved
+    A step takes the shard that deviates most and another, and the best of ``tried`` times
+    ``tried`` swaps; it ends when a round over all others brings nothing.
+    """
+    rng = np.random.default_rng(17)
+    load = np.stack([np.bincount(where, items[:, d], shards) for d in range(items.shape[1])], axis=1) - 1
+    held = [np.flatnonzero(where == s) for s in range(shards)]
+    idle = 0
+    for _ in range(steps if shards > 1 else 0):
+        cost = (load**2 * weights).sum(axis=1)
+        worst = int(np.argmax(cost))
+        other = int(rng.integers(shards - 1))
+        other += other >= worst
+        mine, theirs = (np.append(held[s][rng.permutation(len(held[s]))[:tried]], -1) for s in (worst, other))  # -1: nothing back
+        zero = np.zeros((1, items.shape[1]))
+        delta = np.vstack([items[mine[:-1]], zero])[:, None] - np.vstack([items[theirs[:-1]], zero])[None]
+        gain = cost[worst] + cost[other] - (((load[worst] - delta) ** 2 + (load[other] + delta) ** 2) * weights).sum(axis=2)
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[i, j] <= 1e-15:
+            idle += 1
+            if idle > 4 * shards:
+                break
+            continue
+        idle = 0
+        load[worst] -= delta[i, j]
+        load[other] += delta[i, j]
+        for item, source, target in ((mine[i], worst, other), (theirs[j], other, worst)):
+            if item >= 0:
+                where[item] = target
+                held[source] = held[source][held[source] != item]
+                held[target] = np.append(held[target], item)
     return where
 
 
 def shard_documents(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bundles: int = BUNDLES, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, n_tokens) for every row of ``df``.
-
-    ``n_tokens`` counts blanks plus one, a count that needs no tokeniser.
-    """
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, n_tokens) for every row of ``df``."""
     spark = df.sparkSession
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     base = df.select(
         df[id_col].alias("doc_id"),
         (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) + F.lit(1)).cast("long").alias("n_tokens"),
+        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"),
         F.unhex(F.md5(text)).alias("group"),
-        F.pmod(F.xxhash64(df[id_col].cast("string")), F.lit(1 << 30)).alias("spread"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    base = materialize(base, "shard-base")
+    # Written, so a row keeps its number: rows without ids and equal texts are told apart by it.
+    base = materialize(base, "shard-base").withColumn("spread", F.pmod(F.xxhash64("row"), F.lit(1 << 30)))
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     threshold, piece = max(1, total // heavy), max(1, total // (shards * PIECE_SHARE))
     # Fewer than ``heavy`` groups can exceed the threshold, whatever the data.
@@ -109,7 +122,7 @@ def shard_documents(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     where = place(np.array([r[1:] for r in sums], float).reshape(-1, 3), shards)
     placed = spark.createDataFrame([(r[0], int(s)) for r, s in zip(sums, where, strict=True)], "item string, shard int")
     parts = min(max(1, -(-rows // (shards * ROWS_A_PART))), MOST_PARTS)
-    sharded = dealt.join(F.broadcast(placed), "item").select("doc_id", "size", "text_crc32", "n_tokens", "shard", F.pmod(F.hash("spread", "group"), F.lit(parts)).alias("part"))
+    sharded = dealt.join(F.broadcast(placed), "item").select("doc_id", "size", "text_crc32", "n_tokens", "shard", F.pmod(F.hash("spread"), F.lit(parts)).alias("part"))
     sharded = materialize(sharded, "sharded")
     counts = sharded.groupBy("shard", "part").agg(F.count("*").alias("held"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
