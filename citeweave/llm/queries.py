@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm import bpe, exact, minhash, packing, quality, secrets, sharding, tiff, toxicity, urls
+from citeweave.llm.common import materialize
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -63,8 +64,6 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from citeweave.llm.common import materialize
-
     stats = materialize(quality.document_statistics(_read(spark, sf_dir, "documents")), "statistics")
     model = quality.learn(stats, _read(spark, sf_dir, "labels"), ~_held(5, 0))
     return quality.score_statistics(stats, model).select("doc_id", _held(5, 0).alias("held_out"), "score", "predicted")
@@ -94,8 +93,10 @@ ruled AS (
 outcomes AS (
   SELECT *, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS bad FROM ruled),
 hosts AS (
-  SELECT host, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
-  FROM outcomes GROUP BY host),
+  SELECT host, CASE WHEN address THEN site WHEN two IN {urls.SUFFIXES} THEN array_to_string(labels[-3:], '.') ELSE two END AS domain,
+    CASE WHEN address THEN 'ip' WHEN two IN {urls.SUFFIXES} THEN two ELSE labels[-1] END AS suffix, n, bad
+  FROM (SELECT *, string_split(site, '.') AS labels, array_to_string(string_split(site, '.')[-2:], '.') AS two, regexp_full_match(site, '[0-9]+([.][0-9]+){{3}}') AS address
+    FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]?(:[0-9]*)?$', '') AS site, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM outcomes GROUP BY host))),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 levels AS (

@@ -7,6 +7,11 @@ domain's, those towards their suffix's, and those towards the whole, each by a b
 prior whose strength comes from the spread of the rates at that level (moments). A page is
 blocked if the lower bound of its host's posterior exceeds ``LIMIT``.
 
+The registered domain is the label before the public suffix and the suffix: sites under
+``co.uk`` are no neighbours. ``suffixes`` names the public suffixes of several labels;
+``SUFFIXES`` has common ones. User parts, ports and a closing dot of a host don't count
+there, and an address of four numbers is its own domain.
+
 Results: a null url, or one without ``://``, has an empty host and path; the empty host has
 a reputation as any other. Hosts without labelled pages have their domain's rate. Repeated
 rows count each. Extra columns are never read. An empty table gives an empty result.
@@ -24,6 +29,14 @@ from citeweave.llm.common import LOWER, UPPER, materialize
 
 LIMIT, Z = 0.5, 1.645
 WEAK, STRONG = 1.0, 1000.0
+#: Public suffixes of two labels (fixed values of the public list, the common ones).
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "ltd.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.nz", "org.nz", "ac.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp",
+    "com.br", "net.br", "org.br", "gov.br", "com.cn", "net.cn", "org.cn", "gov.cn", "com.tr", "org.tr", "co.in", "net.in", "org.in", "ac.in", "gov.in", "co.kr", "or.kr", "ac.kr", "co.za", "org.za",
+    "com.mx", "org.mx", "com.ar", "org.ar", "com.tw", "org.tw", "com.hk", "com.sg", "com.my", "co.il", "org.il", "ac.il", "com.pl", "com.ua", "com.ru", "co.id", "com.vn", "co.th", "com.co", "com.pe",
+    "github.io", "gitlab.io", "blogspot.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev",
+)
+ADDRESS = r"^[0-9]+([.][0-9]+){3}$"
 
 
 def host_of(url: Column) -> Column:
@@ -49,13 +62,23 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host without user part, port and closing dot."""
+    return F.regexp_replace(host, r"^.*@|[.]?(:[0-9]*)?$", "")
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: one label, or two that ``suffixes`` names; ``ip`` for an address."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(ADDRESS), F.lit("ip")).when(two.isin(*suffixes), two).otherwise(F.substring_index(site, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """Registered domain: the public suffix and the label before it; an address is its own."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(ADDRESS), site).when(two.isin(*suffixes), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def strength(children: DataFrame) -> tuple[float, float]:
@@ -68,10 +91,10 @@ def strength(children: DataFrame) -> tuple[float, float]:
     return mean, STRONG if between <= 0 else max(WEAK, min(STRONG, mean * (1 - mean) / between - 1))
 
 
-def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, rate, bound, blocked) of every host in ``outcomes`` (host, bad: 1, 0 or null)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}), "hosts")
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     (whole, k0), (_, k1), (_, k2) = strength(suffixes), strength(domains), strength(hosts)
@@ -87,7 +110,7 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataF
     return both.select("host", "rate", bound.alias("bound"), (bound > limit).alias("blocked"))
 
 
-def judge(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, limit: float = LIMIT, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``df``.
 
     ``outcome`` labels pages (1 bad, 0 good, null unknown); by default a page that a rule
@@ -97,7 +120,7 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_i
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     bad = F.col("own") if outcome is not None else F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
     ruled = materialize(pages.withColumns({"rule": rule, "by_rule": verdict}).withColumn("bad", bad), "ruled")
-    known = materialize(reputation(ruled.select("host", "bad"), limit, z), "reputation")
+    known = materialize(reputation(ruled.select("host", "bad"), limit, z, suffixes), "reputation")
     return ruled.join(known.select("host", "blocked"), "host").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")
     )
