@@ -46,7 +46,7 @@ REST_SHARE, LEAST_PIECES = 0.03, 64
 #: Expected pieces of a hash part, and the most parts of one length.
 ROWS_A_PART, MOST_PARTS = 256, 16_384
 #: Bytes of text that are numbered at once: more share more segments.
-SLICE = 12 << 20
+SLICE = 6 << 20
 #: The pattern of byte-level pre-tokenisers (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
