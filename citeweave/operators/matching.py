@@ -14,8 +14,6 @@ from citeweave.functions.bibliographic import grade
 from citeweave.functions.text import tokens
 from citeweave.tables import load
 
-#: The SQL still compares only through tokens of at most so many candidates; the plans do not.
-RARE = 2
 MARGIN, NEAR, LEAST = 0.05, 0.15, 0.5
 
 
@@ -104,10 +102,8 @@ TOKENS_SQL = f"list_filter(regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+'), l
 def _pair_sql(name: str, docs: str, items: str) -> str:
     return f"""{name}_d AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS have FROM {docs}),
 {name}_i AS (SELECT item_id, list_distinct({TOKENS_SQL}) AS want FROM {items}),
-{name}_e AS (SELECT item_id, unnest(want) AS token FROM {name}_i),
-{name}_k AS (SELECT item_id, token FROM {name}_e WHERE token IN (SELECT token FROM {name}_e GROUP BY token HAVING count(*) <= {RARE})),
-{name}_c AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(have) AS token FROM {name}_d) JOIN {name}_k USING (token)),
-{name} AS (SELECT doc_id, item_id, len(list_intersect(have, want)) / len(want)::DOUBLE AS score FROM {name}_c JOIN {name}_d USING (doc_id) JOIN {name}_i USING (item_id))"""
+{name} AS (SELECT doc_id, item_id, count(*) / any_value(wanted)::DOUBLE AS score FROM (SELECT doc_id, unnest(have) AS token FROM {name}_d)
+  JOIN (SELECT item_id, len(want) AS wanted, unnest(want) AS token FROM {name}_i) USING (token) GROUP BY doc_id, item_id)"""
 
 
 _PAIRS = f"WITH {_pair_sql('pairs', 'documents', 'benchmark')}"

@@ -1,14 +1,19 @@
-"""Queries over rendered works, and their SQL."""
+"""Queries over rendered works."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from citeweave.functions.bibliographic import kind
+from citeweave.functions.bibliographic import joined
+from citeweave.operators.lists import letters
+from citeweave.operators.ranking import rank_within
 from citeweave.plans import styles
-from citeweave.tables import WORKS_SQL, works
+from citeweave.plans.sql import SQL
+from citeweave.records import harden
+from citeweave.tables import works
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def _render(form: str):
@@ -18,154 +23,62 @@ def _render(form: str):
 QUERIES = {f"style_{name}": _render(name) for name in styles.STYLES} | {f"export_{name}": _render(name) for name in styles.EXPORTS}
 
 
+def lettered(works: DataFrame) -> DataFrame:
+    """Hardened works whose year carries the letter that tells works of one first name and year apart."""
+    known = letters(works).filter("letter <> ''")
+    joint = harden(works).join(known, "id", "left")
+    return joint.withColumn("year", F.concat("year", F.coalesce("letter", F.lit("")))).drop("letter")
+
+
 def in_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parenthetical citations with year letters where surname list head and year coincide."""
-    return works(spark, sf_dir).select("id", styles.in_text().alias("text"))
+    """Citations in a sentence in every style, with year letters in the author-date styles."""
+    rows = lettered(works(spark, sf_dir))
+    forms = {"apa": styles.in_text("apa"), "apa_narrative": styles.in_text("apa", "narrative"), "harvard": styles.in_text("harvard", pages="5-6"), "carnegie": styles.in_text("carnegie", pages="5-6")}
+    plain = harden(works(spark, sf_dir)).select("id", styles.in_text("mla", pages="5").alias("mla"), styles.in_text("ieee", pages="5").alias("ieee"), styles.in_text("chicago", "short").alias("chicago_short"))
+    return rows.select("id", *[c.alias(n) for n, c in forms.items()]).join(plain, "id")
 
 
 def style_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return styles.render(works(spark, sf_dir), "apa").select("id", styles.escape_html(F.col("text")).alias("html"))
+    """APA as HTML: text escaped, titles in italics."""
+    return styles.render(works(spark, sf_dir), "apa", html=True).select("id", F.col("text").alias("html"))
+
+
+def style_apa_lettered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """APA references with the letters that tell works of one name and year apart."""
+    return lettered(works(spark, sf_dir)).select("id", styles.apa().alias("text"))
 
 
 def all_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every work in every style: one pass over the works, a row a style."""
-    made = works(spark, sf_dir).withColumn("kind", kind(F.col("type")))
+    made = harden(works(spark, sf_dir))
     each = F.array(*[F.struct(F.lit(name).alias("style"), make().alias("text")) for name, make in styles.STYLES.items()])
     return made.select("id", F.explode(each).alias("made")).select("id", "made.style", "made.text")
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSL-like JSON of each work, with the fields in a fixed order."""
-    made = works(spark, sf_dir)
-    people = F.transform("authors", lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given")))
-    return made.select("id", F.to_json(F.struct("type", "title", people.alias("author"), F.col("doi").alias("DOI"), "year", "volume")).alias("json"))
+    """CSL JSON of each work: fields in a fixed order, those that a record lacks left out."""
+    made = harden(works(spark, sf_dir))
+    some = lambda name: F.nullif(F.col(name), F.lit(""))
+    people = lambda name: F.when(F.size(name) > 0, F.transform(name, lambda a: F.struct(F.when(~a["literal"], a["family"]).alias("family"), F.when(~a["literal"], a["given"]).alias("given"), F.when(a["literal"], a["family"]).alias("literal"))))
+    issued = F.when(F.col("year") != "", F.struct(F.array(F.array(F.col("year").cast("int"))).alias("date-parts")))
+    fields = [F.col("type"), some("title").alias("title"), people("authors").alias("author"), people("editors").alias("editor"), some("container").alias("container-title"), issued.alias("issued")]
+    fields += [some("volume").alias("volume"), some("issue").alias("issue"), some("pages").alias("page"), some("publisher").alias("publisher"), some("doi").alias("DOI")]
+    return made.select("id", F.to_json(F.struct(*fields)).alias("json"))
 
 
 def list_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered list lines: numbers count a publisher's works in order of id."""
-    made = styles.render(works(spark, sf_dir), "vancouver").join(works(spark, sf_dir).select("id", "publisher"), "id")
-    number = F.row_number().over(Window.partitionBy("publisher").orderBy("id"))
-    return made.select("publisher", "id", F.concat(number, F.lit(". "), F.col("text")).alias("line"))
-
-
-QUERIES |= {f.__name__: f for f in (in_text_forms, style_html, all_styles, export_json, list_frame)}
-
-_MADE = f"""WITH {WORKS_SQL},
-forms AS (
-  SELECT *, CASE type WHEN 'journal-article' THEN 'journal' WHEN 'book' THEN 'book' WHEN 'book-chapter' THEN 'chapter' WHEN 'dissertation' THEN 'thesis' ELSE 'preprint' END AS kind,
-    'https://doi.org/' || doi AS link,
-    CASE WHEN first_page = last_page THEN first_page::VARCHAR ELSE first_page || '–' || last_page END AS pages,
-    CASE WHEN first_page = last_page THEN first_page::VARCHAR WHEN len(first_page::VARCHAR) <> len(last_page::VARCHAR) THEN first_page || '-' || last_page
-      WHEN len(first_page::VARCHAR) >= 2 AND (first_page::VARCHAR)[:2] = (last_page::VARCHAR)[:2] THEN first_page || '-' || (last_page::VARCHAR)[3:]
-      WHEN (first_page::VARCHAR)[1] = (last_page::VARCHAR)[1] THEN first_page || '-' || (last_page::VARCHAR)[2:] ELSE first_page || '-' || last_page END AS short_pages,
-    list_transform(authors, lambda a: a.family) AS families,
-    list_transform(authors, lambda a: list_transform(string_split(a.given, ' '), lambda g: list_transform(string_split(g, '-'), lambda q: upper(q[1])))) AS letters
-  FROM works),
-dotted AS (
-  SELECT *, list_transform(letters, lambda g: array_to_string(list_transform(g, lambda h: array_to_string(list_transform(h, lambda q: q || '.'), '-')), ' ')) AS init,
-    list_transform(letters, lambda g: array_to_string(list_transform(g, lambda h: array_to_string(list_transform(h, lambda q: q || '.'), '-')), '')) AS tight,
-    list_transform(letters, lambda g: array_to_string(flatten(g), '')) AS bare, len(authors) AS n
-  FROM forms),
-made AS (
-  SELECT *, list_transform(range(1, n + 1), lambda i: families[i] || ', ' || init[i]) AS last_first,
-    list_transform(range(1, n + 1), lambda i: init[i] || ' ' || families[i]) AS first_last,
-    list_transform(range(1, n + 1), lambda i: families[i] || ' ' || bare[i]) AS short,
-    list_transform(range(1, n + 1), lambda i: CASE WHEN i = 1 THEN families[i] || ', ' || authors[i].given ELSE authors[i].given || ' ' || families[i] END) AS inverted,
-    list_transform(range(1, n + 1), lambda i: CASE WHEN i = 1 THEN upper(families[i]) || ', ' || tight[i] ELSE tight[i] || ' ' || upper(families[i]) END) AS capital,
-    list_transform(authors, lambda a: a.family || ', ' || a.given) AS plain
-  FROM dotted)"""
-
-
-def _and(names: str, word: str = " and ", oxford: str = ",") -> str:
-    return f"CASE WHEN n = 1 THEN {names}[1] WHEN n = 2 THEN {names}[1] || '{word}' || {names}[2] ELSE array_to_string({names}[:n - 1], ', ') || '{oxford}{word}' || {names}[n] END"
-
-
-def _sql(journal: str, book: str, chapter: str, other: str, people: str) -> str:
-    return f"""{_MADE}, p AS (SELECT *, {people} AS who FROM made)
-SELECT id, CASE kind WHEN 'journal' THEN {journal} WHEN 'book' THEN {book} WHEN 'chapter' THEN {chapter} ELSE {other} END AS text FROM p"""
-
-
-_APA = "who || ' (' || year || '). ' || title"
-_CHI = "who || CASE WHEN ends_with(who, '.') THEN '' ELSE '.' END"
-_HAR = "who || ' (' || year || ') '"
-_CAR = "who || '. ' || year || '. ' || title || '. '"
-_STYLE_SQL = {
-    "apa": _sql(
-        f"{_APA} || '. ' || container || ', ' || volume || '(' || issue || '), ' || pages || '. ' || link",
-        f"{_APA} || '. ' || publisher || '. ' || link",
-        f"{_APA} || '. In ' || container || ' (pp. ' || pages || '). ' || publisher || '. ' || link",
-        f"{_APA} || CASE kind WHEN 'thesis' THEN ' [Doctoral dissertation]' ELSE ' [Preprint]' END || '. ' || publisher || '. ' || link",
-        "CASE WHEN n = 1 THEN last_first[1] ELSE array_to_string(last_first[:n - 1], ', ') || ', & ' || last_first[n] END",
-    ),
-    "mla": _sql(
-        "who || '. “' || title || '.” ' || container || ', vol. ' || volume || ', no. ' || issue || ', ' || year || ', pp. ' || pages || '. ' || link || '.'",
-        "who || '. ' || title || '. ' || publisher || ', ' || year || '. ' || link || '.'",
-        "who || '. “' || title || '.” ' || container || ', ' || publisher || ', ' || year || ', pp. ' || pages || '. ' || link || '.'",
-        "who || '. ' || title || '. ' || year || '. ' || publisher || '. ' || link || '.'",
-        "CASE WHEN n > 2 THEN inverted[1] || ', et al' WHEN n = 2 THEN inverted[1] || ', and ' || inverted[2] ELSE inverted[1] END",
-    ),
-    "chicago": _sql(
-        f"{_CHI} || ' “' || title || '.” ' || container || ' ' || volume || ', no. ' || issue || ' (' || year || '): ' || pages || '. ' || link || '.'",
-        f"{_CHI} || ' ' || title || '. ' || publisher || ', ' || year || '. ' || link || '.'",
-        f"{_CHI} || ' “' || title || '.” In ' || container || ', ' || pages || '. ' || publisher || ', ' || year || '. ' || link || '.'",
-        f"{_CHI} || ' “' || title || '.” ' || publisher || ', ' || year || '. ' || link || '.'",
-        _and("inverted"),
-    ),
-    "harvard": _sql(
-        f"{_HAR} || '‘' || title || '’, ' || container || ', ' || volume || '(' || issue || '), pp. ' || pages || '. Available at: ' || link || '.'",
-        f"{_HAR} || title || '. ' || publisher || '. Available at: ' || link || '.'",
-        f"{_HAR} || '‘' || title || '’, in ' || container || '. ' || publisher || ', pp. ' || pages || '. Available at: ' || link || '.'",
-        f"{_HAR} || title || '. ' || publisher || '. Available at: ' || link || '.'",
-        f"CASE WHEN n > 3 THEN last_first[1] || ' et al.' ELSE {_and('last_first', oxford='')} END",
-    ),
-    "vancouver": _sql(
-        "who || '. ' || title || '. ' || container || '. ' || year || ';' || volume || '(' || issue || '):' || short_pages || '. doi:' || doi",
-        "who || '. ' || title || '. ' || publisher || '; ' || year || '. doi:' || doi",
-        "who || '. ' || title || '. In: ' || container || '. ' || publisher || '; ' || year || '. p. ' || short_pages || '. doi:' || doi",
-        "who || '. ' || title || '. ' || publisher || '; ' || year || '. doi:' || doi",
-        "CASE WHEN n > 6 THEN array_to_string(short[:6], ', ') || ', et al' ELSE array_to_string(short, ', ') END",
-    ),
-    "ieee": _sql(
-        "who || ', “' || title || ',” ' || container || ', vol. ' || volume || ', no. ' || issue || ', pp. ' || pages || ', ' || year || ', doi: ' || doi || '.'",
-        "who || ', ' || title || '. ' || publisher || ', ' || year || '. doi: ' || doi || '.'",
-        "who || ', “' || title || ',” in ' || container || ', ' || publisher || ', ' || year || ', pp. ' || pages || '. doi: ' || doi || '.'",
-        "who || ', “' || title || ',” ' || publisher || ', ' || year || '. doi: ' || doi || '.'",
-        f"CASE WHEN n > 6 THEN first_last[1] || ' et al.' ELSE {_and('first_last')} END",
-    ),
-    "carnegie": _sql(
-        f"{_CAR} || container || ', ' || volume || ':' || pages || '.'",
-        f"{_CAR} || publisher || '.'",
-        f"{_CAR} || 'In ' || container || '. ' || publisher || '.'",
-        f"{_CAR} || publisher || '.'",
-        _and("capital"),
-    ),
-}
-_NL, _CRLF = "chr(10)", "chr(13) || chr(10)"
-_EXPORT_SQL = {
-    "bibtex": f"""{_MADE} SELECT id, '@' || CASE kind WHEN 'journal' THEN 'article' WHEN 'book' THEN 'book' WHEN 'chapter' THEN 'incollection' WHEN 'thesis' THEN 'phdthesis' ELSE 'misc' END
-  || '{{' || lower(families[1]) || year || regexp_extract(lower(title), '^(?:(?:a|an|the) )?([a-z]+)', 1) || ',' || {_NL} || '  ' ||
-  array_to_string(list_filter(['author = {{' || array_to_string(plain, ' and ') || '}}', 'title = {{' || title || '}}',
-    CASE kind WHEN 'journal' THEN 'journal = {{' || container || '}}' WHEN 'chapter' THEN 'booktitle = {{' || container || '}}' END, 'year = {{' || year || '}}',
-    CASE WHEN kind = 'journal' THEN 'volume = {{' || volume || '}}' END, CASE WHEN kind = 'journal' THEN 'number = {{' || issue || '}}' END,
-    CASE WHEN kind IN ('journal', 'chapter') THEN 'pages = {{' || first_page || '--' || last_page || '}}' END,
-    CASE WHEN kind = 'thesis' THEN 'school = {{' || publisher || '}}' WHEN kind <> 'journal' THEN 'publisher = {{' || publisher || '}}' END,
-    'doi = {{' || doi || '}}'], lambda x: x IS NOT NULL), ',' || {_NL} || '  ') || {_NL} || '}}' AS text FROM made""",
-    "ris": f"""{_MADE} SELECT id, array_to_string(list_filter(['TY  - ' || CASE kind WHEN 'journal' THEN 'JOUR' WHEN 'book' THEN 'BOOK' WHEN 'chapter' THEN 'CHAP' WHEN 'thesis' THEN 'THES' ELSE 'UNPB' END,
-    array_to_string(list_transform(plain, lambda a: 'AU  - ' || a), {_CRLF}), 'TI  - ' || title, CASE WHEN kind IN ('journal', 'chapter') THEN 'T2  - ' || container END, 'PY  - ' || year,
-    CASE WHEN kind = 'journal' THEN 'VL  - ' || volume END, CASE WHEN kind = 'journal' THEN 'IS  - ' || issue END,
-    CASE WHEN kind IN ('journal', 'chapter') THEN 'SP  - ' || first_page || {_CRLF} || 'EP  - ' || last_page END,
-    CASE WHEN kind <> 'journal' THEN 'PB  - ' || publisher END, 'DO  - ' || doi, 'ER  - ' || {_CRLF}], lambda x: x IS NOT NULL), {_CRLF}) AS text FROM made""",
-    "endnote": f"""{_MADE} SELECT id, array_to_string(list_filter(['%0 ' || CASE kind WHEN 'journal' THEN 'Journal Article' WHEN 'book' THEN 'Book' WHEN 'chapter' THEN 'Book Section' WHEN 'thesis' THEN 'Thesis' ELSE 'Generic' END,
-    array_to_string(list_transform(plain, lambda a: '%A ' || a), {_NL}), '%T ' || title, CASE kind WHEN 'journal' THEN '%J ' || container WHEN 'chapter' THEN '%B ' || container END, '%D ' || year,
-    CASE WHEN kind = 'journal' THEN '%V ' || volume || {_NL} || '%N ' || issue END, CASE WHEN kind IN ('journal', 'chapter') THEN '%P ' || first_page || '-' || last_page END,
-    CASE WHEN kind <> 'journal' THEN '%I ' || publisher END, '%R ' || doi], lambda x: x IS NOT NULL), {_NL}) || {_NL} AS text FROM made""",
-}
-SQL = {f"style_{k}": v for k, v in _STYLE_SQL.items()} | {f"export_{k}": v for k, v in _EXPORT_SQL.items()}
-SQL |= {
-    "in_text_forms": f"{_MADE} SELECT id, '(' || CASE WHEN n = 1 THEN families[1] WHEN n = 2 THEN families[1] || ' & ' || families[2] ELSE families[1] || ' et al.' END || ', ' || year || ')' AS text FROM made",
-    "style_html": f"SELECT id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM ({_STYLE_SQL['apa']})",
-    "all_styles": " UNION ALL ".join(f"SELECT id, '{k}' AS style, text FROM ({v})" for k, v in _STYLE_SQL.items()),
-    "export_json": f"""WITH {WORKS_SQL} SELECT id, '{{"type":"' || type || '","title":"' || title || '","author":[' ||
-  array_to_string(list_transform(authors, lambda a: '{{"family":"' || a.family || '","given":"' || a.given || '"}}'), ',') || '],"DOI":"' || doi || '","year":' || year || ',"volume":' || volume || '}}' AS json FROM works""",
-    "list_frame": f"SELECT publisher, t.id, row_number() OVER (PARTITION BY publisher ORDER BY t.id) || '. ' || text AS line FROM ({_STYLE_SQL['vancouver']}) t JOIN (SELECT p_partkey AS id, replace(p_brand, '#', ' ') || ' Press' AS publisher FROM part) b ON t.id = b.id",
-}
+    """Numbered list lines: numbers count a publisher's works that have a title and a DOI, in order of id; others get none."""
+    made = harden(works(spark, sf_dir)).select("publisher", "id", (F.col("doi") != "").alias("good"), styles.vancouver().alias("text"))
+    ranked = rank_within(made, ["publisher"], F.floor(F.col("id") / 4096), ["id"], weight=F.col("good"))
+    return ranked.select("publisher", "id", joined(". ", F.when(F.col("good"), F.col("place").cast("string")).otherwise(""), F.col("text")).alias("line"))
+
+
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One BibTeX file a publisher: entries in order of id, a blank line between; matched and missed works counted."""
+    made = harden(works(spark, sf_dir)).select("publisher", "id", (F.col("doi") != "").alias("good"), styles.bibtex().alias("text"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("id", "text"))))
+    grouped = made.groupBy("publisher").agg(entries.alias("entries"), F.count_if("good").alias("matched"), F.count_if(~F.col("good")).alias("missed"))
+    return grouped.select("publisher", "matched", "missed", F.sha2(F.array_join(F.transform("entries", lambda e: e["text"]), "\n\n"), 256).alias("content_sha256"))
+
+
+QUERIES |= {f.__name__: f for f in (in_text_forms, style_html, style_apa_lettered, all_styles, export_json, list_frame, export_files)}
