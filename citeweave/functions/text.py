@@ -62,6 +62,10 @@ SCRIPT_NAMES = ("Latin", "Cyrillic", "Greek", "CJK")
 
 def to_ascii(col: Column) -> Column:
     """Letters folded, all else kept: García is Garcia, ø is o, ligatures are their letters."""
+    return let(col, lambda c: F.when(F.octet_length(c) == F.char_length(c), c).otherwise(_folded(c)))
+
+
+def _folded(col: Column) -> Column:
     out = F.regexp_replace(F.translate(col, ACCENTED + "".join(LETTERS), PLAIN + "".join(LETTERS.values())), r"[̀-ͯ]", "")
     for letter, pair in PAIRS:
         out = F.replace(out, F.lit(letter), F.lit(pair))
@@ -107,18 +111,18 @@ def _pairs_of(run: Column) -> Column:
     return F.concat(pairs, F.when(n <= 4, F.split(run, "")).otherwise(F.array().cast("array<string>")))
 
 
-def match_tokens(col: Column) -> Column:
+def match_tokens(col: Column, latin: bool = True) -> Column:
     """Tokens by which texts of all scripts are matched.
 
-    Words of three characters or more; a Cyrillic word is followed by its Latin form; a run
-    of CJK characters gives its pairs (and its characters, if up to four).
+    Words of three characters or more; a Cyrillic word is followed by its Latin form (if
+    ``latin``); a run of CJK characters gives its pairs (and its characters, if up to four).
     """
     text = F.replace(fold(F.translate(clean(col), SCRIPTS, SCRIPTS_PLAIN)), F.lit("ё"), F.lit("е"))
     runs = F.regexp_extract_all(text, F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
 
     def one(w: Column) -> Column:
-        latin = translit(w)
-        word = F.when(w.rlike("[Ѐ-ӿ]") & (latin != w) & (F.char_length(latin) >= 3), F.array(w, latin)).otherwise(F.array(w))
+        other = translit(w)
+        word = F.when(w.rlike("[Ѐ-ӿ]") & (other != w) & (F.char_length(other) >= 3), F.array(w, other)).otherwise(F.array(w)) if latin else F.array(w)
         return F.when(w.rlike(rf"[{CJK}]"), _pairs_of(w)).when(F.char_length(w) >= 3, word).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(runs, one))
