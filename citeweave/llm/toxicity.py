@@ -36,7 +36,7 @@ FACTORS = 4
 #: Labelled rows that a fit takes at most.
 SAMPLE = 12_000
 #: Bytes of hashed terms that a fit takes at most; the most frequent words whose pairs are tested.
-SAMPLE_BYTES, JOINT = 48 << 20, 3_000
+SAMPLE_BYTES, JOINT = 24 << 20, 2_000
 THRESHOLD = 0.7
 _TERM = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms beside the word itself.
@@ -213,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
         sizes = made.orderBy("order").select("order", "size").limit(sample).collect()
         fits = [r[0] for r, total in zip(sizes, np.cumsum([r[1] for r in sizes]), strict=True) if total <= SAMPLE_BYTES]
         got = made.filter(F.col("order") <= fits[-1]).orderBy("order").limit(len(fits)).select("label", "terms").collect() if fits else []
-    return fit([np.frombuffer(r[1], "<i4").astype(np.int64) for r in got], np.array([float(r[0]) for r in got]))
+    return fit([np.frombuffer(r[1], "<i4") for r in got], np.array([float(r[0]) for r in got]))
 
 
 def score_documents(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
