@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -111,13 +112,14 @@ def _pairs_of(run: Column) -> Column:
     return F.concat(pairs, F.when(n <= 4, F.split(run, "")).otherwise(F.array().cast("array<string>")))
 
 
-def match_tokens(col: Column, latin: bool = True) -> Column:
+def match_tokens(col: Column, latin: bool = True, markup: bool = True) -> Column:
     """Tokens by which texts of all scripts are matched.
 
     Words of three characters or more; a Cyrillic word is followed by its Latin form (if
     ``latin``); a run of CJK characters gives its pairs (and its characters, if up to four).
+    Without ``markup`` the text is taken as clean.
     """
-    text = F.replace(fold(F.translate(clean(col), SCRIPTS, SCRIPTS_PLAIN)), F.lit("ё"), F.lit("е"))
+    text = F.replace(fold(F.translate(clean(col) if markup else F.coalesce(col, F.lit("")), SCRIPTS, SCRIPTS_PLAIN)), F.lit("ё"), F.lit("е"))
     runs = F.regexp_extract_all(text, F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
 
     def one(w: Column) -> Column:
@@ -137,7 +139,8 @@ def fold_spelling(col: Column) -> Column:
 
 
 def _named(names: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    """A constant map: folded once, and one node of the plan instead of two an entry."""
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
 def _pieces(text: Column, pattern: str, one) -> Column:
