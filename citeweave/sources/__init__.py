@@ -1 +1 @@
-"""Reading tagged files, documents and bytes."""
+"""Files as tables: bytes of unknown encoding, tagged records, Word documents."""
