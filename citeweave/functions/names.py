@@ -195,15 +195,23 @@ def _led(lead: Column, by: str, rest: Column) -> Column:
     return F.when(lead == "", rest).when(rest == "", lead).otherwise(F.concat(lead, F.lit(by), rest))
 
 
+def _initials_of(p: Column, dot: str, space: str) -> Column:
+    """Initials of a person that a record holds already (``ini``), in another form: stops and blanks away, but a caseless name stays."""
+    out = p["ini"]
+    for away, kept in ((" ", space), (".", dot)):
+        out = out if kept == away else F.replace(out, F.lit(away), F.lit(kept))
+    return out if (dot, space) == (".", " ") else F.when(p["given"].rlike(CASELESS), p["ini"]).otherwise(out)
+
+
 def last_init(p: Column, space: str = " ", suffix: bool = True) -> Column:
     """``King, M. L., Jr.``"""
-    made = F.concat(_led(p["family"], ", ", initials(p["given"], ".", space)), _suffixed(p) if suffix else F.lit(""))
+    made = F.concat(_led(p["family"], ", ", _initials_of(p, ".", space)), _suffixed(p) if suffix else F.lit(""))
     return F.when(p["literal"], p["family"]).otherwise(made)
 
 
 def init_last(p: Column, space: str = " ", suffix: bool = True) -> Column:
     """``M. L. King, Jr.``"""
-    made = F.concat(_led(initials(p["given"], ".", space), " ", p["family"]), _suffixed(p) if suffix else F.lit(""))
+    made = F.concat(_led(_initials_of(p, ".", space), " ", p["family"]), _suffixed(p) if suffix else F.lit(""))
     return F.when(p["literal"], p["family"]).otherwise(made)
 
 
@@ -221,7 +229,7 @@ def nlm(p: Column) -> Column:
     """``King ML Jr``, ``Frei E 3rd``; initials without hyphens or stops."""
     bare = F.replace(p["suffix"], F.lit("."), F.lit(""))
     number = F.coalesce(F.element_at(F.create_map(*map(F.lit, ("II", "2nd", "III", "3rd", "IV", "4th"))), F.upper(bare)), bare)
-    made = F.concat(_led(p["family"], " ", initials(p["given"], "", "")), F.when(p["suffix"] != "", F.concat(F.lit(" "), number)).otherwise(""))
+    made = F.concat(_led(p["family"], " ", _initials_of(p, "", "")), F.when(p["suffix"] != "", F.concat(F.lit(" "), number)).otherwise(""))
     return F.when(p["literal"], p["family"]).otherwise(made)
 
 

@@ -17,11 +17,17 @@ from citeweave.tables import load
 MARGIN, NEAR, LEAST = 0.05, 0.15, 0.5
 
 
-def scored_pairs(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score) of all texts and candidates that share a token: shared tokens are counted over an equi-join."""
-    docs = texts.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    items = candidates.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("want"))
-    each = items.select("item_id", F.size("want").alias("wanted"), F.explode("want").alias("token"))
+def scored_pairs(texts: DataFrame, candidates: DataFrame, beginnings: int = 0) -> DataFrame:
+    """(doc_id, item_id, score) of all texts and candidates that share a token: shared tokens are counted over an equi-join.
+
+    ``beginnings`` compares the first letters of tokens alone.
+    """
+    words = tokens(F.col("text"))
+    words = F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(beginnings))) if beginnings else words)
+    # Outer, as Spark would compute the words again for the filter that it puts before an inner explode.
+    docs = texts.select("doc_id", F.explode_outer(words).alias("token")).filter("token is not null")
+    items = candidates.select("item_id", words.alias("want"))
+    each = items.select("item_id", F.size("want").alias("wanted"), F.explode_outer("want").alias("token")).filter("token is not null")
     shared = docs.join(each, "token").groupBy("doc_id", "item_id", "wanted").agg(F.count("*").alias("shared"))
     return shared.select("doc_id", "item_id", (F.col("shared") / F.col("wanted")).alias("score"))
 
@@ -63,13 +69,15 @@ def match_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_tier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First tier: passages with even ids. Texts below 0.8 there are searched among the others too."""
+    """Two searches over all passages: by whole words, then, for texts below 0.8 there, by their first five letters too.
+
+    The second tier's score replaces the first's only if it is higher; an equal one keeps the first.
+    """
     docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
-    one = scored_pairs(docs, items.filter("item_id % 2 = 0")).withColumn("tier", F.lit(1))
+    one = scored_pairs(docs, items).withColumn("tier", F.lit(1))
     settled = one.filter("score >= 0.8").select("doc_id").distinct()
-    two = scored_pairs(docs.join(settled, "doc_id", "left_anti"), items.filter("item_id % 2 = 1")).withColumn("tier", F.lit(2))
-    every = one.unionByName(two)
-    top = every.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("tier")).alias("t"), (-F.col("item_id")).alias("i"))).alias("top"))
+    two = scored_pairs(docs.join(settled, "doc_id", "left_anti"), items, beginnings=5).withColumn("tier", F.lit(2))
+    top = one.unionByName(two).groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("tier")).alias("t"), (-F.col("item_id")).alias("i"))).alias("top"))
     return top.select("doc_id", (-F.col("top.i")).alias("item_id"), F.col("top.score").alias("score"), (-F.col("top.t")).alias("tier"))
 
 
@@ -118,10 +126,10 @@ WHERE b.score >= {LEAST} AND a.score - b.score <= {NEAR}""",
     "match_hysteresis": f"""{_PAIRS}, seen AS (SELECT doc_id, list({{'item_id': item_id, 'score': score}} ORDER BY item_id) AS seen FROM pairs GROUP BY doc_id),
 folded AS (SELECT doc_id, list_reduce(list_prepend({{'item_id': (-1)::BIGINT, 'score': (-1.0)::DOUBLE}}, seen), lambda a, x: CASE WHEN x.score > a.score + {MARGIN} THEN x ELSE a END) AS best FROM seen)
 SELECT doc_id, best.item_id AS item_id, best.score AS score FROM folded""",
-    "match_tier_fallback": f"""WITH evens AS (SELECT * FROM benchmark WHERE item_id % 2 = 0), odds AS (SELECT * FROM benchmark WHERE item_id % 2 = 1),
-{_pair_sql('one', 'documents', 'evens')},
-open_docs AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM one WHERE score >= 0.8)),
-{_pair_sql('two', 'open_docs', 'odds')},
+    "match_tier_fallback": f"""WITH {_pair_sql('one', 'documents', 'benchmark')},
+two AS (SELECT doc_id, item_id, count(*) / any_value(wanted)::DOUBLE AS score FROM (SELECT doc_id, unnest(list_distinct(list_transform(have, lambda w: w[:5]))) AS token FROM one_d
+    WHERE doc_id NOT IN (SELECT doc_id FROM one WHERE score >= 0.8))
+  JOIN (SELECT item_id, len(want) AS wanted, unnest(want) AS token FROM (SELECT item_id, list_distinct(list_transform(want, lambda w: w[:5])) AS want FROM one_i)) USING (token) GROUP BY doc_id, item_id),
 every AS (SELECT *, 1 AS tier FROM one UNION ALL SELECT *, 2 FROM two)
 SELECT doc_id, item_id, score, tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tier, item_id) AS r FROM every) WHERE r = 1""",
     "match_metrics": f"""{_BEST} SELECT lang, count(*) FILTER (grade = 'good') AS good, count(*) FILTER (grade = 'check') AS to_check, count(*) AS n, max(coalesce(score, 0.0)) AS best

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.bibliographic import kind, same_pages, valid_edition
-from citeweave.functions.names import PERSON
+from citeweave.functions.names import PERSON, initials
 
 TEXTS = (
     "type", "doi", "url", "title", "subtitle", "container", "series", "number", "short_container", "institution", "edition", "num_pages", "genre", "year", "volume", "issue", "pages",
@@ -19,13 +19,16 @@ def harden(df: DataFrame) -> DataFrame:
     """``df`` with every column of a record, of its type, and no nulls in it.
 
     Missing texts are '', people an empty list (nameless ones dropped), month and day 0 if
-    impossible, the year its four digits. Other columns (an id) stay as they are.
+    impossible, the year its four digits. A person's initials are made once, as ``ini``. Other columns (an id) stay as they are.
     """
 
     def text(name: str) -> Column:
         return F.trim(F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), r"\s+", " ")) if name in df.columns else F.lit("")
 
     def people(name: str) -> Column:
+        return F.transform(plain_people(name), lambda p: p.withField("ini", initials(p["given"])))
+
+    def plain_people(name: str) -> Column:
         if name not in df.columns:
             return F.array().cast(f"array<{PERSON}>")
         held = [f.name for f in df.schema[name].dataType.elementType.fields]

@@ -124,7 +124,7 @@ def test_no_text_is_null_whatever_lacks(spark):
     every = [make().alias(name) for name, make in {**styles.STYLES, **styles.EXPORTS}.items()]
     for row in df.select(*every).collect():
         for text in row:
-            assert text and "  " not in text.replace("\n  ", "").replace("  - ", "") and ", ," not in text and ".." not in text.replace(". . .", "")
+            assert text is not None and "  " not in text.replace("\n  ", "").replace("  - ", "") and ", ," not in text and ".." not in text.replace(". . .", "")
     with pytest.raises(ValueError):
         styles.render(df, "unknown")
 
