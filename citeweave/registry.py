@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from citeweave.operators import citing, dictionary, grading, layout, lists, lookup, matching, segmenting, tagging, texts
+from citeweave.operators import citing, comparing, dictionary, grading, layout, lists, lookup, matching, segmenting, tagging, texts
 from citeweave.plans import queries as rendering
 
-MODULES = (matching, lists, rendering, grading, texts, dictionary, lookup, segmenting, tagging, citing, layout)
+MODULES = (matching, lists, rendering, grading, texts, dictionary, lookup, segmenting, tagging, citing, layout, comparing)
 QUERIES: dict[str, Callable] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}
 FLAGSHIP = "match_best_passage"
