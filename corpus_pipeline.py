@@ -93,8 +93,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; what a stage has read is dropped once it is written."""
+    docs, keep = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        keep.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
