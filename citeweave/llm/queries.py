@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import bpe, exact, minhash, packing, quality, secrets, sharding, tiff, toxicity, urls
+from citeweave.llm import bpe, conversations, exact, minhash, mixing, packing, quality, secrets, sharding, spelling, tiff, toxicity, urls
 from citeweave.llm.common import materialize
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -73,8 +73,21 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_shards, op3_minhash, op4_toxicity, op5_secrets, op6_packing, op7_urls, op8_tiff, op9_quality, op10_exact)
+    f.__name__: f
+    for f in (op1_bpe, op2_shards, op3_minhash, op4_toxicity, op5_secrets, op6_packing, op7_urls, op8_tiff, op9_quality, op10_exact, op11_repair, op12_mix, op13_spelling)
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
