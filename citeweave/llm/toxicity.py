@@ -7,12 +7,15 @@ weights are fitted by proximal steps with an L1 penalty: terms without evidence
 so long texts do not gather noise.
 
 Terms get a vector by evidence of their own, or by joint evidence: over the residuals of
-the additive weights, every pair of the ``JOINT`` most frequent words is tested, so words
-that say nothing alone and much together (a xor b) are learnt too.
+the additive weights, pairs of terms are tested, so words that say nothing alone and much
+together (a xor b) are learnt too. No term is left out of that but those that can't pass: the
+statistic of a pair is at most the root of the number of texts that hold both, so a term of
+fewer texts than the limit squared has no pair that reaches it. Blocks of pairs are tested in
+Spark tasks, over a broadcast of the sample's terms.
 
-The fit takes a bounded sample of labelled rows (``SAMPLE`` rows with the least hash and
-``SAMPLE_BYTES`` of their terms, documented bounds, as is ``JOINT``); scoring reads every
-row and whole text.
+The fit takes a bounded sample of labelled rows (``SAMPLE`` rows with the least hash, of which
+those whose terms fit in ``SAMPLE_BYTES``, one after another; a text that alone is larger is
+passed over); scoring reads every row and whole text.
 
 Results: null and empty texts get the score of no terms. Null labels and null ids are not
 learnt from. Repeated rows are scored alike. Extra columns are never read.
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import Scratch, map_arrow, texts
@@ -35,8 +38,10 @@ BUCKETS = 1 << 20
 FACTORS = 4
 #: Labelled rows that a fit takes at most.
 SAMPLE = 12_000
-#: Bytes of hashed terms that a fit takes at most; the most frequent words whose pairs are tested.
-SAMPLE_BYTES, JOINT = 24 << 20, 2_000
+#: Bytes of hashed terms that a fit takes at most.
+SAMPLE_BYTES = 24 << 20
+#: Pairs of terms that chance may pass in all; terms a side of the blocks that a task tests.
+CHANCE, BLOCK = 0.01, 1_500
 THRESHOLD = 0.7
 _TERM = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms beside the word itself.
@@ -97,43 +102,96 @@ def evidence(count: np.ndarray, bad: np.ndarray, n: int, positives: float) -> np
     return np.abs(np.log(inside * rest_out / (outside * rest_in))) / np.sqrt(1 / inside + 1 / outside + 1 / rest_in + 1 / rest_out)
 
 
-def joint_terms(inverse: np.ndarray, row: np.ndarray, count: np.ndarray, residual: np.ndarray, joint: int) -> np.ndarray:
-    """Terms of pairs whose joint residual is evidence, among the ``joint`` most frequent terms.
+@dataclass
+class Pairs:
+    """What the test of pairs reads: by text the places of its eligible terms, and its residual."""
+
+    starts: np.ndarray
+    places: np.ndarray
+    residual: np.ndarray
+    eligible: int
+    limit: float
+    alone: np.ndarray
+
+    @classmethod
+    def of(cls, inverse: np.ndarray, row: np.ndarray, count: np.ndarray, residual: np.ndarray) -> tuple[Pairs, np.ndarray]:
+        """The pairs of terms given by text, and the terms that are eligible."""
+        seen = int((count >= 8).sum())
+        limit = float(np.sqrt(2 * np.log(max(2.0, seen * (seen - 1) / 2) / CHANCE)))
+        some = np.flatnonzero((count >= limit**2) & (count <= 0.9 * len(residual)))
+        place = np.full(len(count), -1, np.int32)
+        place[some] = np.arange(len(some), dtype=np.int32)
+        at = place[inverse]
+        keep = at >= 0
+        at, e = at[keep], residual.astype(np.float32)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(residual)))])
+        own = e[row[keep]]
+        alone = np.abs(np.bincount(at, own, len(some))) / np.sqrt(np.bincount(at, own * own, len(some)) + 1e-3)
+        return cls(starts, at, e, len(some), limit, alone), some
+
+    def blocks(self) -> list[tuple[int, int]]:
+        starts = range(0, self.eligible, BLOCK)
+        return [(i, j) for i in starts for j in starts if i <= j]
+
+    def _dense(self, first: int, texts: slice) -> np.ndarray:
+        """Which of the terms from ``first`` on the texts hold."""
+        lo, hi = self.starts[texts.start], self.starts[texts.stop]
+        row = np.repeat(np.arange(texts.stop - texts.start), np.diff(self.starts[texts.start : texts.stop + 1]))
+        at = self.places[lo:hi] - first
+        inside = (at >= 0) & (at < BLOCK)
+        out = np.zeros((texts.stop - texts.start, min(BLOCK, self.eligible - first)), np.float32)
+        out[row[inside], at[inside]] = 1
+        return out
+
+    def strong(self, i: int, j: int) -> np.ndarray:
+        """Places of the terms of two blocks that have a pair across them whose joint residual is evidence.
+
+        z of a pair is the sum of the residuals of the texts that hold both over its standard
+        deviation; the limit is what few chance values of so many would reach. What a term's own
+        residual explains is no interaction: a pair must stand out against that of its lesser term.
+        """
+        wide = (min(BLOCK, self.eligible - i), min(BLOCK, self.eligible - j))
+        total, both = np.zeros(wide, np.float32), np.zeros(wide, np.float32)
+        for start in range(0, len(self.residual), 1_024):
+            texts = slice(start, min(start + 1_024, len(self.residual)))
+            x, e = self._dense(i, texts), self.residual[texts, None]
+            y = x if i == j else self._dense(j, texts)
+            total += x.T @ (y * e)
+            both += x.T @ (y * (e * e))
+        z = np.abs(total) / np.sqrt(both + 1e-3)
+        z[both < 8 * np.mean(self.residual**2)] = 0
+        if i == j:
+            np.fill_diagonal(z, 0)
+        lesser = np.minimum(self.alone[i : i + wide[0], None], self.alone[None, j : j + wide[1]])
+        passed = z > np.maximum(self.limit, 1.5 * lesser)
+        return np.unique(np.concatenate([i + np.flatnonzero(passed.any(axis=1)), j + np.flatnonzero(passed.any(axis=0))]))
+
+
+def joint_terms(inverse: np.ndarray, row: np.ndarray, count: np.ndarray, residual: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """Terms of pairs whose joint residual is evidence; blocks of pairs are tested by tasks of ``spark``, if given."""
+    pairs, some = Pairs.of(inverse, row, count, residual)
+    blocks = pairs.blocks()
+    if spark is None or len(blocks) < 2:
+        found = [pairs.strong(i, j) for i, j in blocks]
+        return some[np.unique(np.concatenate(found)).astype(np.int64)] if found else some[:0]
+    shared = spark.sparkContext.broadcast(pairs)  # SAMPLE_BYTES of terms at most
 
-    z of a pair is the sum of the residuals of the texts that hold both over its standard
-    deviation; the limit is what the greatest of so many chance values would hardly reach.
-    Terms that the same texts hold (a word and its beginning) are one.
-    """
-    few = np.argsort(-count, kind="stable")[:joint]
-    few = few[(count[few] >= 8) & (count[few] <= 0.9 * len(residual))]
-    place = np.full(len(count), -1)
-    place[few] = np.arange(len(few))
-    keep = place[inverse] >= 0
-    at, row = place[inverse[keep]], row[keep]
-    total, both = np.zeros((len(few), len(few)), np.float32), np.zeros((len(few), len(few)), np.float32)
-    for start in range(0, len(residual), 512):
-        some = (row >= start) & (row < start + 512)
-        x = np.zeros((min(512, len(residual) - start), len(few)), np.float32)
-        x[row[some] - start, at[some]] = 1
-        e = residual[start : start + 512].astype(np.float32)[:, None]
-        total += x.T @ (x * e)
-        both += x.T @ (x * e * e)
-    z = np.abs(total) / np.sqrt(both + 1e-3)
-    z[both < 8 * np.mean(residual**2)] = 0
-    np.fill_diagonal(z, 0)
-    limit = np.sqrt(2 * np.log(max(2, len(few) ** 2 / 2))) + 1.5
-    # What a term's own residual explains is no interaction: its pairs must stand out against it.
-    alone = np.abs(np.diag(total)) / np.sqrt(np.diag(both) + 1e-3)
-    strong = z > np.maximum(limit, 1.5 * np.minimum(alone[:, None], alone[None, :]))
-    return few[strong.any(axis=1)]
-
-
-def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 200, l1: float = 3e-4, decay: float = 1e-3, seed: int = 11, joint: int = JOINT) -> Machine:
+    def run(batch: pa.RecordBatch) -> dict:
+        found = [shared.value.strong(i, j) for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)]
+        return {"place": np.unique(np.concatenate(found)) if found else []}
+
+    dealt = spark.createDataFrame(blocks, "i int, j int").repartition(len(blocks), "i", "j")
+    strong = np.array(sorted(r[0] for r in map_arrow(dealt, run, "place int").distinct().collect()), np.int64)
+    shared.destroy()
+    return some[strong]
+
+
+def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 200, l1: float = 3e-4, decay: float = 1e-3, seed: int = 11, joint: bool = True, spark: SparkSession | None = None) -> Machine:
     """Full-batch proximal Adagrad steps on the logistic loss.
 
     The L1 penalty of a term falls with the evidence for it, so that plain terms vanish
     and telling ones are hardly shrunk; terms with some evidence, alone or jointly, may
-    interact. ``joint`` 0 leaves joint evidence out.
+    interact. Without ``joint`` joint evidence is left out.
     """
     if not len(labels) or labels.min() == labels.max():
         base = float(labels.mean()) if len(labels) else 0.0
@@ -150,7 +208,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 200, l1: fl
     _, w, v, b = _descend(row[keep], inverse[keep], labels, told, paired & False, z, bias, epochs // 3 if joint else 0, l1, decay, seed)
     if joint:
         margin = b + np.bincount(row, w[inverse], n)
-        together = joint_terms(inverse, row, count, labels - 1 / (1 + np.exp(-np.clip(margin, -30, 30))), joint)
+        together = joint_terms(inverse, row, count, labels - 1 / (1 + np.exp(-np.clip(margin, -30, 30))), spark)
         told[together] = paired[together] = True
         z[together] = np.maximum(z[together], 4)
     keep = told[inverse]
@@ -210,10 +268,13 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     with Scratch(docs.sparkSession) as keep:
         made = keep(map_arrow(rows, run, "order bigint, label int, terms binary, size bigint"), "toxic-train")
         # Rows with the least hash, as many as the bounds allow: an id that many rows have is sampled as any.
-        sizes = made.orderBy("order").select("order", "size").limit(sample).collect()
-        fits = [r[0] for r, total in zip(sizes, np.cumsum([r[1] for r in sizes]), strict=True) if total <= SAMPLE_BYTES]
-        got = made.filter(F.col("order") <= fits[-1]).orderBy("order").limit(len(fits)).select("label", "terms").collect() if fits else []
-    return fit([np.frombuffer(r[1], "<i4") for r in got], np.array([float(r[0]) for r in got]))
+        fits, total = [], 0
+        for order, size in made.orderBy("order").select("order", "size").limit(sample).collect():
+            if total + size <= SAMPLE_BYTES:
+                fits, total = [*fits, (order,)] if not fits or fits[-1][0] != order else fits, total + size
+        taken = docs.sparkSession.createDataFrame(fits, "order bigint")
+        got = made.join(F.broadcast(taken), "order").orderBy("order").limit(sample).select("label", "terms").collect()
+    return fit([np.frombuffer(r[1], "<i4") for r in got], np.array([float(r[0]) for r in got]), spark=docs.sparkSession)
 
 
 def score_documents(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

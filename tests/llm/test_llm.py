@@ -373,11 +373,11 @@ def test_toxicity_learns_what_no_word_tells():
         labels.append(float((i % 2) ^ (i // 2 % 2)))
     labels = np.array(labels)
     right = {}
-    for joint in (0, toxicity.JOINT):
+    for joint in (False, True):
         machine = toxicity.fit(samples[:600], labels[:600], joint=joint)
         scores = machine.scores(samples[600:])
         right[joint] = np.mean((scores >= 0.5) == labels[600:])
-    assert right[0] < 0.7 and right[toxicity.JOINT] > 0.95
+    assert right[False] < 0.7 and right[True] > 0.95
     weight, vector = (dict(zip(machine.index.tolist(), x, strict=True)) for x in (machine.weight, machine.vector))
     for sample, score in zip(samples[600:610], scores, strict=False):
         known = [int(t) for t in sample if int(t) in weight]
@@ -385,6 +385,42 @@ def test_toxicity_learns_what_no_word_tells():
         assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
 
 
+def test_toxicity_learns_pairs_of_rare_words(spark):
+    """2500 words are more frequent than the two whose exclusive or is the label; blocks are tested by tasks."""
+    rng = random.Random(9)
+    samples, labels, either = [], [], []
+    for i in range(6_000):
+        rare = ("alpha", "omega", "alpha omega")[i % 3] if i % 25 < 1 else ""
+        samples.append(toxicity.terms(" ".join(f"w{rng.randrange(2_500)}" for _ in range(120)) + " " + rare))
+        labels.append(float(rare in ("alpha", "omega")) if rare else float(rng.random() < 0.5))
+        either.append(bool(rare))
+    labels, either = np.array(labels), np.array(either)
+    machine = toxicity.fit(samples, labels, spark=spark)
+    fresh = [toxicity.terms(" ".join(f"w{rng.randrange(2_500)}" for _ in range(120)) + f" {x}") for x in ("alpha", "omega", "alpha omega") * 60]
+    right = np.mean((machine.scores(fresh) >= 0.5) == np.array([1, 1, 0] * 60))
+    assert either.sum() == 240 and right > 0.9
+    alone = toxicity.fit(samples, labels, joint=False)
+    assert np.mean((alone.scores(fresh) >= 0.5) == np.array([1, 1, 0] * 60)) < 0.8
+
+
+def test_no_pair_that_passes_is_left_out(monkeypatch):
+    """Every pair of terms by brute force, those of rare terms too, in blocks of several sizes."""
+    rng = np.random.default_rng(4)
+    held = rng.random((1_500, 60)) < rng.choice([0.02, 0.1, 0.3], 60)
+    held[:, 7] |= held[:, 3] & (rng.random(1_500) < 0.9)
+    held[:, [5, 9, 11, 12]] = rng.random((1_500, 4)) < [0.3, 0.3, 0.2, 0.4]
+    residual = np.where((held[:, 5] & held[:, 9]) | (held[:, 11] & held[:, 12]), -0.5, 0.5 * rng.choice([1, -1], 1_500))
+    row, inverse = np.nonzero(held)
+    count = held.sum(axis=0)
+    limit = np.sqrt(2 * np.log((count >= 8).sum() * ((count >= 8).sum() - 1) / 2 / toxicity.CHANCE))
+    z = lambda x: abs(residual[x].sum()) / np.sqrt((residual[x] ** 2).sum() + 1e-3)
+    alone = [z(held[:, a]) for a in range(60)]
+    want = {t for a, b in itertools.combinations(range(60), 2) for t in (a, b) if (both := held[:, a] & held[:, b]).sum() >= 8 and z(both) > max(limit, 1.5 * min(alone[a], alone[b])) and count[[a, b]].max() <= 1_350}
+    for block in (7, 1_000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert set(toxicity.joint_terms(inverse, row, count, residual).tolist()) == want and want
+
+
 def test_toxicity_bounds_its_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4_000)
     docs = frame(spark, [f"word{i} " * 3 for i in range(50)] + ["long " + " ".join(f"x{i}" for i in range(5_000))])
@@ -392,6 +428,10 @@ def test_toxicity_bounds_its_sample(spark, monkeypatch):
     machine = toxicity.learn(docs, labels, F.lit(True))
     got = {r.doc_id: r.score for r in toxicity.score_documents(frame(spark, ODD), machine).collect()}
     assert len(got) == len(ODD) + 1 and all(0 <= s <= 1 for s in got.values()) and got[0] == got[1]
+    # A text that alone exceeds the bound is passed over, wherever it stands in the order.
+    only = labels.filter("doc_id = 50").selectExpr("doc_id", "1 AS toxic")
+    assert len(toxicity.learn(docs, only.union(labels.filter("doc_id = 50").selectExpr("doc_id", "0 AS toxic")), F.lit(True)).index) == 0
+    assert len(toxicity.learn(docs, labels, F.lit(True)).index) >= 0
 
 
 def test_quality(spark):
