@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from citeweave.functions import let
 from citeweave.functions.bibliographic import edition_label, en_dash, given, hyphen, is_range, joined, month_name, nlm_pages, pp
 from citeweave.functions.identifiers import doi_link, doi_url
+from citeweave.functions.marks import marks_to_html, marks_to_latex, marks_to_text
 from citeweave.functions.names import full_last, init_last, join_and, last_full, last_init, nlm
-from citeweave.functions.text import ascii_key, ends_punct, escape_html
+from citeweave.functions.text import ascii_key, ends_punct
 from citeweave.records import harden
 
 C = F.col
@@ -31,7 +32,7 @@ class Mark:
 
 
 PLAIN = Mark(lambda c: c, lambda c: c)
-HTML = Mark(escape_html, lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("<i>"), escape_html(c), F.lit("</i>"))))
+HTML = Mark(marks_to_html, lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("<i>"), marks_to_html(c, in_italics=True), F.lit("</i>"))))
 
 
 def stopped(text: Column) -> Column:
@@ -521,11 +522,14 @@ EXPORTS = {"bibtex": bibtex, "ris": ris, "endnote": endnote}
 
 
 def render(works: DataFrame, form: str, html: bool = False) -> DataFrame:
-    """(id, text) of every work in a style or export format; an unknown one is an error."""
+    """(id, text) of every work in a style or export format; an unknown one is an error.
+
+    Marks in titles (scripts, italics) are kept as HTML or LaTeX has them, and as Unicode has them elsewhere.
+    """
     if form in STYLES:
-        text = STYLES[form](HTML if html else PLAIN)
+        text = STYLES[form](HTML) if html else marks_to_text(STYLES[form](PLAIN))
     elif form in EXPORTS:
-        text = EXPORTS[form]()
+        text = (marks_to_latex if form == "bibtex" else marks_to_text)(EXPORTS[form]())
     else:
         raise ValueError(f"unknown style: {form}")
     return harden(works).select("id", text.alias("text"))
