@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of two 64-bit columns that a broadcast may hold at most: some 100 MB as a hash table.
+#: Rows of a few numbers or 16-byte identifiers that a broadcast may hold at most: some 100 MB as a hash table.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -39,9 +40,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     This cuts the lineage without tying results to one executor's disk, and
     leaves the reader free to choose its partitioning (a later join exchanges
-    both sides itself, so adaptive execution can split a hot key).
+    both sides itself, so adaptive execution can split a hot key). The table stays until the
+    innermost ``results_dropped`` ends, or the application.
     """
-    return Scratch(df.sparkSession)(df, tag)
+    return (_HOLDERS[-1] if _HOLDERS else Scratch(df.sparkSession))(df, tag)
 
 
 class Scratch:
@@ -73,11 +75,30 @@ class Scratch:
         self.drop(*(df for df, _ in self.names))
 
 
+_HOLDERS: list[Scratch] = []
+
+
+@contextmanager
+def results_dropped(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` writes inside is dropped at the end: for a caller that has written what it made of it."""
+    with Scratch(spark) as holder:
+        _HOLDERS.append(holder)
+        try:
+            yield
+        finally:
+            _HOLDERS.remove(holder)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` to be broadcast if it was counted to hold at most ``rows`` rows; else Spark chooses, and shuffles what is large."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def row_key(text: Column) -> Column:
+    """128 bits that, with its id, name a row by its text as it stands; null and empty texts differ."""
+    return F.unhex(F.md5(F.concat(F.when(text.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else.
 

@@ -24,7 +24,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, ascii_lower, materialize, small
+from citeweave.llm.common import Scratch, ascii_lower, materialize, row_key, small
 
 CHUNK_MIN, CHUNK_MAX = 512, 4096
 #: Identifiers by rising length: 128 bits, 256 bits, the chunk itself.
@@ -70,12 +70,12 @@ def exact_duplicates(
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``df``.
 
-    ``with_rows`` adds ``row_key`` (``xxhash64`` of the text as it stands) and ``grouped`` (the
+    ``with_rows`` adds ``row_key`` (128 bits of the text as it stands) and ``grouped`` (the
     name of the group), by which a row without an own id is known.
     """
     with Scratch(df.sparkSession) as keep:
         text = df[text_col]
-        own = recipes(df.select(df[id_col].alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text")), keep, identifiers)
+        own = recipes(df.select(df[id_col].alias("doc_id"), row_key(text).alias("row_key"), text.alias("text")), keep, identifiers)
         groups = keep(own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
         both = own.join(groups, "recipe")
         more = ["row_key", F.col("text_sha256").alias("grouped")] if with_rows else []

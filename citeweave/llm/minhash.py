@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, map_arrow, materialize, small, texts
+from citeweave.llm.common import Scratch, map_arrow, materialize, row_key, small, texts
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -147,7 +147,7 @@ def sign(df: DataFrame, id_type: str) -> DataFrame:
             bands.append(band_keys(signature(items)) if len(items) else np.empty(0, np.int64))
         return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "k1": k1, "k2": k2, "n": n, "bands": _lists(bands)}
 
-    return map_arrow(df, run, f"doc_id {id_type}, row_key bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
+    return map_arrow(df, run, f"doc_id {id_type}, row_key binary, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
 
 def parity_marks(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +269,7 @@ def _across(alive: DataFrame, sets: DataFrame, percent: int, keep: Scratch) -> D
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, with_rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
 
-    ``with_rows`` adds ``row_key`` (``xxhash64`` of the text as it stands) and ``grouped`` (the
+    ``with_rows`` adds ``row_key`` (128 bits of the text as it stands) and ``grouped`` (the
     component by number; null for a row without words), by which a row without an own id is known.
     """
     with Scratch(df.sparkSession) as keep:
@@ -279,7 +279,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _linked(docs: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = keep(sign(docs.withColumn("row_key", F.xxhash64("text")), id_type), "signed")
+    signed = keep(sign(docs.withColumn("row_key", row_key(F.col("text"))), id_type), "signed")
     groups = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     groups = keep(groups.withColumn("nid", F.monotonically_increasing_id()), "groups")
     # Buckets of the distinct texts; the rows of other copies stay behind.

@@ -4,7 +4,7 @@ Each stage takes what its predecessor kept and, but for the last, returns rows w
 columns of ``documents``. A stage's decision is part of its result: rejected and duplicate
 documents are gone, secrets are masked.
 
-Decisions are made by row, not by id: a row is known by its id and the hash of its text.
+Decisions are made by row, not by id: a row is known by its id and 128 bits of its text.
 Rows without an id and rows that share one take part as any; of a group one row stays,
 also where several rows have the id that is kept. Null texts count as empty. Extra columns
 are carried along unread. An empty table stays empty.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm import exact, minhash, packing, quality, secrets
-from citeweave.llm.common import Scratch, materialize, small
+from citeweave.llm.common import Scratch, materialize, results_dropped, row_key, small
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     lead = "decided"  # begins the names of decisions, and of no column of ``docs``
     while any(c.lower().startswith(lead) for c in docs.columns):
         lead += "_"
-    match = docs["doc_id"].eqNullSafe(F.col(f"{lead}0")) & (F.xxhash64(docs["text"]) == F.col(f"{lead}1"))
+    match = docs["doc_id"].eqNullSafe(F.col(f"{lead}0")) & (row_key(docs["text"]) == F.col(f"{lead}1"))
     against, among = (small(d.toDF(*(f"{lead}{k}" for k in range(3)))) for d in (dropped, thinned))
     stay = docs.join(against, match, "left_anti")
     if not thinned.limit(1).count():
@@ -93,9 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again; what a stage has read is dropped once it is written."""
+    """All stages over ``documents``, each written and read again; what a stage has read, and what it wrote on its way, is dropped once it is written."""
     docs, keep = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with results_dropped(spark):
+            docs = keep(stage(spark, before, sf_dir), f"stage-{name}")
         keep.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
