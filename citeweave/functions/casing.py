@@ -88,41 +88,3 @@ ELEMENTS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re "
     "Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu"
 ).split()
-SUBSCRIPTS, SUPERSCRIPTS = "₀₁₂₃₄₅₆₇₈₉", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻"
-
-
-def _element() -> str:
-    return "(?:" + "|".join(sorted(ELEMENTS, key=lambda e: (-len(e), e))) + ")"
-
-
-def is_formula(word: Column) -> Column:
-    """A word of element symbols and counts (with brackets), two elements at least and a count of 2 to 99."""
-    unit = rf"{_element()}[0-9]{{0,2}}"
-    shape = rf"^(?:{unit}|\((?:{unit})+\)[0-9]{{0,2}}|\[(?:{unit})+\][0-9]{{0,2}})+(?:·[0-9]?(?:{unit})+)?$"
-    return word.rlike(shape) & word.rlike(r"[A-Za-z)\]](?:[2-9]|[1-9][0-9])") & word.rlike("[A-Z].*[A-Z]")
-
-
-def formulas(title: Column) -> Column:
-    """Counts in formulas as subscripts, isotope masses and charges of ions as superscripts: H₂O, ¹⁸O, Ca²⁺.
-
-    Gene, blood and cell names of one element letter and a number (H2B, C3H, K14) stay.
-    """
-
-    def low(w: Column) -> Column:
-        return F.array_join(F.transform(F.regexp_extract_all(w, F.lit(r"·[0-9]+|[0-9]+|[^0-9·]+|·"), F.lit(0)), lambda p: F.when(p.rlike("^[0-9]"), F.translate(p, "0123456789", SUBSCRIPTS)).otherwise(p)), "")
-
-    ion = rf"^({_element()})([1-9]?)([+−])$"
-    isotope = r"^([1-9][0-9]{1,2})(Sr|Nd|Pb|Ar|Hf|Os|Re|Rb|Sm|Lu|Th|Ra|Xe|Kr|Be|Al|Cl|He|Tc|Fe|U|O|C|N|S|K)$"
-
-    def one(w: Column) -> Column:
-        raised = lambda k, pattern: F.translate(F.regexp_extract(w, pattern, k), "0123456789+−", SUPERSCRIPTS)
-        mass = F.regexp_extract(w, isotope, 1).try_cast("int")
-        real = ~w.rlike(r"^(?:[1-9][0-9]?[CNKSOU]|[1-9][0-9]{2}[NKSO])$") | w.rlike("^(?:14C|13C|15N|18O|16O|17O|34S|33S|32S|40K|39K)$")
-        return (
-            F.when(w.rlike(isotope) & real & (mass < 260), F.concat(raised(1, isotope), F.regexp_extract(w, isotope, 2)))
-            .when(w.rlike(ion) & w.rlike(r"^(?:Na|K|H|Li|Rb|Cs|Ag|Cl|Br|I|F)[+−]$|^(?:O|S|N|P)[23]−$|^(?!(?:C|B|N|P|K|I|H|F|S|O)[0-9]).*[2-6][+−]$"), F.concat(F.regexp_extract(w, ion, 1), raised(2, ion), raised(3, ion)))
-            .when(is_formula(w) & ~w.rlike(r"^(?:H2B|C3H|C2C12|SH2|CK[0-9]+|U2OS|B16F10|H1N1|H3N2|HN[0-9]|PC12|SOCS3|NOS[23]|PS4|CHOP10)$"), low(w)).otherwise(w)
-        )
-
-    pieces = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"[^\s/–—,;:?!]+|[\s/–—,;:?!]"), F.lit(0))
-    return F.array_join(F.transform(pieces, one), "")

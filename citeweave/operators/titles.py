@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.functions import marks
+from citeweave.functions import formulas, marks
+from citeweave.functions.casing import ELEMENTS
 from citeweave.tables import load
 
 #: Deposited titles of parts: faults and forms of markup by turns, with a name, a type and a number.
@@ -39,7 +40,35 @@ def title_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("p_partkey", marks.marks_to_html(F.col("marked")).alias("html"), marks.marks_to_text(F.col("marked")).alias("text"), marks.marks_to_html(marks.transfer_marks(F.col("marked"), upper)).alias("upper_html"))
 
 
-QUERIES = {"title_marks": title_marks}
+#: Symbols of the derived formulas.
+METALS = ("Fe", "Al", "Si", "Ti", "V", "Cr", "Mn", "Ca", "Na", "Co", "Ni", "U", "Nb", "Sc")
+
+
+def _metal(index) -> F.Column:
+    return F.get(F.array(*map(F.lit, METALS)), (index % len(METALS)).cast("int"))
+
+
+def _formula() -> F.Column:
+    """A metal, another one for two of three, oxygen or sulfur; counts by the part's size and number."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    count = lambda n: F.when(n % 4 > 0, (n % 4 + 1).cast("string")).otherwise("")
+    return F.concat(_metal(key), count(size), F.when(key % 3 > 0, F.concat(_metal(key * 5 + 3), count(size + key))).otherwise(""), F.when(key % 2 == 0, "O").otherwise("S"), (size % 7 + 2).cast("string"))
+
+
+def formula_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of parts set in capitals, with their symbols restored."""
+    return load(spark, sf_dir, "part").select("p_partkey", F.upper(_formula()).alias("capitals")).withColumn("restored", formulas.restore(F.col("capitals")))
+
+
+def title_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with a formula, an ion, a hydrate and isotopes, as plain text with lowered and raised figures."""
+    key = F.col("p_partkey")
+    title = F.concat(F.lit("Sorption of Ca2+ on "), _metal(key), F.lit("2O"), F.col("p_size") % 6 + 3, F.lit(" ("), F.col("p_name"), F.lit(", Mg"), key % 8 + 2, F.lit("Si2O5·"), key % 5 + 2, F.lit("H2O) and 87Sr/86Sr by PC12"))
+    marked = load(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(formulas.mark_formulas(title))).alias("marked"))
+    return marked.select("p_partkey", marks.marks_to_text(F.col("marked")).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (title_marks, formula_restore, title_formulas)}
 
 
 def _sql(template: str, upper: bool = False, plain: bool = False) -> str:
@@ -65,4 +94,22 @@ def _cases(**form) -> str:
     return f"CASE p_partkey % {len(DEPOSITED)} " + " ".join(f"WHEN {i} THEN {_sql(want, **form)}" for i, (_, want) in enumerate(DEPOSITED)) + " END"
 
 
-SQL = {"title_marks": f"SELECT p_partkey, {_cases()} AS html, {_cases(plain=True)} AS text, {_cases(upper=True)} AS upper_html FROM part"}
+_LIST = "[" + ", ".join(f"'{m}'" for m in METALS) + "]"
+_METAL = lambda index: f"{_LIST}[({index}) % {len(METALS)} + 1]"
+_COUNT = lambda n: f"CASE WHEN ({n}) % 4 > 0 THEN (({n}) % 4 + 1)::VARCHAR ELSE '' END"
+_SYMBOLS = ", ".join(f"('{e.upper()}', '{e}', {formulas.SYMBOL + formulas.SCARCE * (e in formulas.RARE) - formulas.PAIR * (len(e) == 2)})" for e in ELEMENTS)
+SQL = {
+    "title_marks": f"SELECT p_partkey, {_cases()} AS html, {_cases(plain=True)} AS text, {_cases(upper=True)} AS upper_html FROM part",
+    # Every way to read the letters as symbols, one or two at a time; the cheapest, then the one that takes single letters first.
+    "formula_restore": f"""
+WITH RECURSIVE s(name, symbol, price) AS (VALUES {_SYMBOLS}),
+f AS (SELECT p_partkey, upper({_METAL("p_partkey")} || {_COUNT("p_size")} || CASE WHEN p_partkey % 3 > 0 THEN {_METAL("p_partkey * 5 + 3")} || {_COUNT("p_size + p_partkey")} ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN 'O' ELSE 'S' END || (p_size % 7 + 2)) AS capitals FROM part),
+w AS (
+  SELECT p_partkey, capitals, capitals AS rest, '' AS text, 0 AS cost, '' AS path FROM f
+  UNION ALL
+  SELECT p_partkey, capitals, rest[len(regexp_extract(rest, CASE n WHEN 1 THEN '^[A-Z][0-9.]*' ELSE '^[A-Z][A-Z][0-9.]*' END)) + 1:], text || symbol || regexp_extract(rest[n + 1:], '^[0-9.]*'), cost + price, path || n
+  FROM w, (VALUES (1), (2)) AS t(n), s WHERE rest <> '' AND name = rest[1:n] AND len(name) = n)
+SELECT p_partkey, capitals, arg_min(text, struct_pack(c := cost, p := path)) FILTER (rest = '') AS restored FROM w GROUP BY ALL""",
+    "title_formulas": f"""SELECT p_partkey, 'Sorption of Ca²⁺ on ' || {_METAL("p_partkey")} || '₂O' || translate((p_size % 6 + 3)::VARCHAR, '0123456789', '₀₁₂₃₄₅₆₇₈₉') || ' (' || p_name || ', Mg' || translate((p_partkey % 8 + 2)::VARCHAR, '0123456789', '₀₁₂₃₄₅₆₇₈₉')
+  || 'Si₂O₅·' || (p_partkey % 5 + 2) || 'H₂O) and ⁸⁷Sr/⁸⁶Sr by PC12' AS text FROM part""",
+}

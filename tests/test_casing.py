@@ -27,13 +27,6 @@ def test_case(spark):
     })
 
 
-def test_formulas(spark):
-    same = ["SH2", "H2B", "C3H", "K14 cells", "HIV+", "C3+", "CD4+ T cells", "CoO", "NaCl", "7B", "16S rRNA", "100W", "20N latitude", "10C fast", "Vitamin B12", "A320", "BRCA1"]
-    every(spark, c.formulas, {x: x for x in same} | {
-        "H2O": "H₂O", "CO2 and CH4": "CO₂ and CH₄", "Fe(CO)5": "Fe(CO)₅", "Cr2O7": "Cr₂O₇", "KNO3·H2O": "KNO₃·H₂O", "Na+": "Na⁺", "Ca2+": "Ca²⁺", "14C dating": "¹⁴C dating", "87Sr/86Sr": "⁸⁷Sr/⁸⁶Sr", "Ca2(Mg,Fe)5": "Ca2(Mg,Fe)5", "CaO–Al2O3–SiO2": "CaO–Al₂O₃–SiO₂",
-    })
-
-
 def test_bytes(spark):
     text = "Déjà vu — “naïve” €"
     cases = [text.encode(), b"\xef\xbb\xbf" + text.encode(), text.encode("utf-16"), text.encode("utf-16-le"), text.encode("utf-16-be"), text.encode("cp1252"), b""]
