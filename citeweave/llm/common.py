@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -76,6 +78,8 @@ class Scratch:
 
 
 _HOLDERS: list[Scratch] = []
+#: The C library's call that returns freed heap to the system, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 @contextmanager
@@ -123,12 +127,26 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in out], schema=out)
                 del cols, part
             del batch
-            # An idle worker stays beside the next stage's: it should hold no freed batches.
             pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+#: What workers remember of the texts of a task; emptied at its end.
+TASK_CACHES: list[dict] = []
+
+
+def release() -> None:
+    """Give freed memory back: a worker stays, idle, beside those of later stages."""
+    for cache in TASK_CACHES:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def sliced(batch: pa.RecordBatch, rows: int, size: int) -> Iterable[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes of text, so the memory of a step is bounded."""
     widths = np.zeros(batch.num_rows, np.int64)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, map_arrow, materialize, row_key, small, texts
+from citeweave.llm.common import Scratch, TASK_CACHES, map_arrow, materialize, row_key, small, texts
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -45,6 +45,7 @@ BINS = BANDS * ROWS
 ROWS_A_SALT, SALTS = 512, 256
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _HASHES: dict[bytes, int] = {}
+TASK_CACHES.append(_HASHES)
 
 
 def words_of(text: str) -> list[bytes]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, map_arrow, texts
+from citeweave.llm.common import Scratch, TASK_CACHES, map_arrow, texts
 
 BUCKETS = 1 << 20
 FACTORS = 4
@@ -47,6 +47,7 @@ _TERM = re.compile(r"\w+")
 #: Lengths of the word beginnings that are terms beside the word itself.
 BEGINNINGS = (5, 6, 7)
 _INDEX: dict[str, tuple[int, ...]] = {}
+TASK_CACHES.append(_INDEX)
 
 
 def _indices(word: str) -> tuple[int, ...]:
