@@ -1,4 +1,4 @@
-"""Case of titles, formulas, files of unknown encoding, Word files and the stream of answers."""
+"""Case of titles, files of unknown encoding, Word files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import casing as c
 from citeweave.sources import files
-from citeweave.streaming import answers
 
 
 def every(spark, expr, cases):
@@ -53,22 +52,3 @@ def test_word_files(spark):
     assert {r.path for r in got if r.error} == {"b", "c"} and [r.text for r in got if r.path == "a"][2] == "Smith, J. (2020). One."
     assert [r.text for r in files.reference_section(paras.filter("error is null")).orderBy("para_no").collect()] == ["Smith, J. (2020). One.", "Jones, A. (2019). Two."]
     assert files.read_docx(table.limit(0)).count() == 0
-
-
-def test_answers_are_cached(spark, tmp_path):
-    asked = []
-
-    def lookup(df):
-        asked.append(sorted(r.text or "" for r in df.collect()))
-        return df.filter("text like 'known%'").select("key", F.lit(7).alias("id"), F.lit("good").alias("grade"))
-
-    for n, rows in enumerate([[(1, "known a"), (2, "known a"), (3, "other"), (4, None)], [(5, "known a"), (6, "new")]]):
-        spark.createDataFrame(rows, "ref_id int, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema("ref_id int, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        answers.answer_stream(stream, lookup, f"{tmp_path}/out").awaitTermination()
-        got = {r.ref_id: (r.id, r.grade) for r in spark.read.parquet(f"{tmp_path}/out/answers").collect()}
-        assert len(got) == (4 if n == 0 else 6) and got[1] == got[2] == (7, "good") and got[3] == got[4] == (None, "none")
-    assert got[5] == (7, "good") and got[6] == (None, "none") and asked[0] == ["", "known a", "other"] and ["new"] in asked and not any("known a" in a for a in asked[1:])
-    now = F.lit("2020-01-01 12:00:00").cast("timestamp")
-    cache = spark.createDataFrame([("a", 1, "good", "2020-01-01 07:00:00"), ("b", None, "none", "2020-01-01 11:40:00"), ("c", 1, "good", "2020-01-01 05:00:00"), ("d", None, "none", "2020-01-01 11:55:00")], "key string, id bigint, grade string, at string")
-    assert {r.key for r in answers.fresh(cache.withColumn("at", F.col("at").cast("timestamp")), now).collect()} == {"a", "d"}
