@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from citeweave.functions.latex import de_latex
 from citeweave.plans import styles
 from citeweave.plans.sql import MADE
+from citeweave.plans.sql import SQL as RENDERED
 from citeweave.records import harden
+from citeweave.sources import mixed
 from citeweave.sources.tagged import inherited, records, tag_maps
 from citeweave.tables import load, works
 
-#: Works of one derived file.
-FILE = 16
+#: Works of one derived file, and of one paste.
+FILE, PASTED = 16, 24
 
 
 def _files(spark: SparkSession, sf_dir: str, form: str, between: str = "\n") -> DataFrame:
@@ -69,7 +71,21 @@ def latex_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", de_latex(written).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (ris_roundtrip, endnote_roundtrip, bibtex_roundtrip, tag_counts, bib_inherit, latex_names)}
+def pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, content): pastes of works by turns as RIS, EndNote, BibTeX and APA text, blank lines between."""
+    made = harden(works(spark, sf_dir))
+    forms = F.array(*(F.when(F.col("id") % 4 == i, form) for i, form in enumerate((styles.ris(), styles.endnote(), styles.bibtex(), styles.apa()))))
+    pieces = made.select(F.floor(F.col("id") / PASTED).alias("file_id"), "id", F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("piece"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "piece")))
+    return pieces.groupBy("file_id").agg(F.array_join(F.transform(rows, lambda r: r["piece"]), "\n\n").alias("content"))
+
+
+def mixed_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of three formats and texts between them, in the order of the paste."""
+    return mixed.chunks(mixed.lines_of(pasted(spark, sf_dir)), several=False)
+
+
+QUERIES = {f.__name__: f for f in (ris_roundtrip, endnote_roundtrip, bibtex_roundtrip, tag_counts, bib_inherit, latex_names, mixed_paste)}
 
 
 def _held(container: str, pages: str = "pages") -> str:
@@ -81,7 +97,10 @@ def _held(container: str, pages: str = "pages") -> str:
 
 #: A lone page of a book, thesis or report is read as its number of pages.
 _LONE = "CASE WHEN p2 = '' AND kind IN ('book', 'thesis', 'report') THEN '' ELSE pages END"
+_FORMS = " UNION ALL ".join(f"SELECT id, '{kind}' AS kind, text FROM ({RENDERED[query]}) WHERE id % 4 = {i}" for i, (kind, query) in enumerate((("ris", "export_ris"), ("enw", "export_endnote"), ("bibtex", "export_bibtex"), ("plain", "style_apa"))))
 SQL = {
+    "mixed_paste": f"""SELECT id // {PASTED} AS file_id, (row_number() OVER (PARTITION BY id // {PASTED} ORDER BY id) - 1)::INT AS chunk_no, kind,
+  regexp_replace(replace(text, chr(13), ''), '^\\s+|\\s+$', '', 'g') AS text FROM ({_FORMS})""",
     "ris_roundtrip": _held("kind <> 'book'", _LONE),
     "endnote_roundtrip": _held("kind <> 'book'"),
     "bibtex_roundtrip": _held("kind IN ('journal', 'chapter', 'proceedings')"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeweave.functions.latex import de_latex
-from citeweave.sources import tagged
+from citeweave.sources import mixed, tagged
 
 RIS = "﻿TY  - JOUR\r\nAU  - Smith, Jane\r\nAU  - et al.\r\nTI  - A long\r\n title\r\nT2  - Nature\r\nSP  - 5\r\nEP  - 9\r\nPY  - 2019\r\nDA  - 2019/03/15/\r\nSN  - 1234-5678\r\nDO  - 10.1000/x.\r\nER  - \r\nplain text here\n\nTY  - BOOK\nT1  - Book\nA2  - Ed, A\nT2  - Ser\nSP  - 237\nPY  - 2001\nER  - \n"
 ENW = "%0 Journal Article\n%A Doe, Jo\n%T Title two\n%J J\n%P 1–9\n%D 2020\n%8 March 5\n\n%0 Book\n%T B\n%B Series\n"
@@ -36,3 +36,49 @@ def test_latex(spark):
     cases = {r"{\'e}t\'e": "été", r"\o{}re \ss": "øre ß", r"\"{\i}": "ï", "a--b---c ``d''": "a–b—c “d”", r"10\% \& {X}": "10% & X", r"\textit{in} vivo": "in vivo", "plain": "plain", "": "", r"\c{C}a": "Ça", r"$\alpha$ ray": "α ray"}
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", de_latex(F.col("t")).alias("y")).collect()
     assert {k: next(r.y for r in rows if r.i == i) for i, k in enumerate(cases)} == cases
+
+
+PASTE = """intro text
+TY  - JOUR
+TI  - A
+ER  - 
+between
+
+more plain
+%0 Book
+%T B
+
+after enw
+@article{k, title={A {nested {very {deep {five}}}} one},
+  note = {@not{an entry}}
+}
+@misc{b, x=1}
+tail
+TY  - BOOK
+TI  - open to the end"""
+CHUNKS = [
+    ("plain", "intro text"), ("ris", "TY  - JOUR\nTI  - A\nER  -"), ("plain", "between\n\nmore plain"), ("enw", "%0 Book\n%T B"), ("plain", "after enw"),
+    ("bibtex", "@article{k, title={A {nested {very {deep {five}}}} one},\n  note = {@not{an entry}}\n}"), ("bibtex", "@misc{b, x=1}"), ("plain", "tail"), ("ris", "TY  - BOOK\nTI  - open to the end"),
+]
+
+
+def test_chunks_of_a_paste_in_order(spark):
+    rows = [(1, PASTE), (2, None), (3, ""), (4, "@misc{broken, title={x\n@misc{c, y={1}}\nz"), (5, "\ufeff" + PASTE.replace("\n", "\r\n"))]
+    for at_once in (3, None):
+        got = {}
+        for r in mixed.chunks(mixed.lines_of(spark.createDataFrame(rows, "file_id int, content string"), at_once), at_once is not None).orderBy("file_id", "chunk_no").collect():
+            got.setdefault(r.file_id, []).append((r.kind, r.text))
+        assert got == {1: CHUNKS, 4: [("bibtex", "@misc{broken, title={x"), ("bibtex", "@misc{c, y={1}}"), ("plain", "z")], 5: CHUNKS}
+
+
+def test_a_file_in_many_splits_gives_the_rows_of_one(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("\n\n".join(f"{PASTE}\nER  - \nfile part {i}" for i in range(200)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = lambda: [tuple(r)[1:] for r in mixed.chunks(mixed.read_lines(spark, f"file:{tmp_path}/big.txt")).orderBy("chunk_no").collect()]
+    whole = read()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert mixed.read_lines(spark, f"file:{tmp_path}/big.txt").select("split").distinct().count() > 8
+        assert read() == whole and len(whole) == 200 * 9 + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
