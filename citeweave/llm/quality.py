@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, map_arrow, texts
+from citeweave.llm.common import Scratch, map_arrow, release, texts
 
 STATISTICS = (
     "log_chars", "log_words", "log_lines", "mean_word", "long_words", "distinct_words", "top_word", "top_pair",
@@ -177,6 +177,7 @@ def statistics_of(text: Column) -> Column:
         for at in range(0, len(column), 256):
             for i, one in enumerate(column.slice(at, 256).to_pylist(), at):
                 made[i] = statistics(one or "")
+        release()
         offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(STATISTICS))
         return pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
 

@@ -20,10 +20,8 @@ import re
 import zlib
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from citeweave.llm.common import map_arrow, texts
 
@@ -133,9 +131,16 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(df: DataFrame, text_col: str = "text", by: str = MASK) -> DataFrame:
-    """``df`` with every secret in ``text_col`` masked; null stays null, other columns stay as they are."""
-    @F.pandas_udf("string")
-    def masked(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: t if t is None else mask(t, scan(t), by))
+    """``df`` with every secret in ``text_col`` masked; null stays null, other columns stay as they are.
 
-    return df.withColumn(text_col, masked(F.col(text_col)))
+    Rows pass in slices of bounded bytes, so a batch of many texts is never held twice as strings.
+    """
+    at = df.columns.index(text_col)
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # columns may have any names
+
+    def run(batch: pa.RecordBatch) -> dict:
+        held = [t if t is None else mask(t, scan(t), by) for t in batch.column(at).to_pylist()]
+        return {f"c{i}": held if i == at else batch.column(i) for i in range(batch.num_columns)}
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return map_arrow(plain, run, schema).toDF(*df.columns)
