@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from citeweave.operators.lists import SQL as LISTS_SQL
 from citeweave.operators.lists import case_evidence
+from citeweave.operators.ranking import rank_within
 from citeweave.tables import load
 
 #: Endings of Latin names of plants and animals, which are no common words (fixed values).
@@ -50,7 +51,8 @@ def admitted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admitted words in order of tier and evidence, as many as ``BUDGET`` bytes hold, one byte a separator.
 
-    The rank comes from pre-summed bytes of each (tier, evidence), so no task orders all words.
+    The rank comes from pre-summed bytes of each (tier, evidence) and beginning of words, so no
+    task orders all words, nor those seen once, which are most.
     """
     seen = case_evidence(spark, sf_dir).select("word", "label", "low")
     kept = admitted_words(spark, sf_dir).filter("why = 'admitted'").join(seen, "word", "left")
@@ -59,8 +61,8 @@ def ranked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.groupBy("tier", "evidence").agg(F.sum("size").alias("held"))
     before = Window.orderBy("tier", F.desc("evidence")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("tier", "evidence", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    inside = F.sum("size").over(Window.partitionBy("tier", "evidence").orderBy("word").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("inside", inside).join(starts, ["tier", "evidence"]).select("word", "tier", "evidence", (F.col("start") + F.col("inside")).alias("end_byte")).filter(F.col("end_byte") <= BUDGET)
+    inside = rank_within(rows, ["tier", "evidence"], F.left("word", F.lit(3)), ["word"], weight=F.col("size"), name="inside")
+    return inside.join(starts, ["tier", "evidence"]).select("word", "tier", "evidence", (F.col("start") + F.col("inside")).alias("end_byte")).filter(F.col("end_byte") <= BUDGET)
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

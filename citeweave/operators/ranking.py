@@ -14,7 +14,7 @@ def rank_within(df: DataFrame, group: Sequence[str], part: Column, order: Sequen
 
     ``part`` must rise with ``order``. Rows are ranked within (group, part) and parts start
     after one another, so a large group is spread over as many tasks as it has parts; only a
-    count a part meets in one task. ``weight`` (0 or 1) makes some rows count alone.
+    count a part meets in one task. ``weight`` makes some rows count alone (0 or 1), or sums sizes.
     """
     counted = F.lit(1).cast("long") if weight is None else weight.cast("long")
     dealt = df.withColumns({"rank_part": part, "rank_weight": counted})
