@@ -506,13 +506,22 @@ def test_queries_against_sql(spark, db):
         assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, db.sql(f"SELECT {order} FROM ({sql})").fetchall()))
 
 
-def test_learning_queries_split_by_id(spark):
-    """held_out as stated, and labels of held-out rows never change a score."""
+def test_learning_queries_split_by_id(spark, tmp_path):
+    """held_out as stated, and labels of held-out rows never change a score: flipped, all scores stay; flipped elsewhere, they don't."""
     from citeweave.llm import queries
 
-    for name, modulus, rest, limit in (("op4_toxicity", 3, 1, toxicity.THRESHOLD), ("op9_quality", 5, 0, quality.THRESHOLD)):
-        rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-        assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    sf = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    for name, label, modulus, rest, limit in (("op4_toxicity", "toxic", 3, 1, toxicity.THRESHOLD), ("op9_quality", "quality", 5, 0, quality.THRESHOLD)):
+        rows = queries.QUERIES[name](spark, sf).collect()
+        assert len(rows) == documents.count()
+        scores = {}
+        for side in (True, False):
+            held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest
+            documents.write.parquet(f"{tmp_path}/{name}-{side}/documents.parquet")
+            labels.withColumn(label, F.when(held == side, 1 - F.col(label)).otherwise(F.col(label))).write.parquet(f"{tmp_path}/{name}-{side}/labels.parquet")
+            scores[side] = {r.doc_id: r.score for r in queries.QUERIES[name](spark, f"{tmp_path}/{name}-{side}").collect()}
+        assert scores[True] == pytest.approx({r.doc_id: r.score for r in rows}, abs=1e-6) and scores[False] != pytest.approx(scores[True], abs=1e-3)
         for r in rows:
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == rest) and r.predicted == int(r.score >= limit) and 0 <= r.score <= 1
 
