@@ -66,7 +66,7 @@ def openalex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regrade_by_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A DOI in a text against the record it names: good if the year and a title word agree, else to check."""
+    """A DOI in a text against the record it names: good if the titles are equal and the years a year apart at most, else to check (`grading.regrade` grades the whole text)."""
     crossref, *_ = _sources(spark, sf_dir)
     said = works(spark, sf_dir).filter("doi is not null").select("id", "doi", F.when(F.col("id") % 5 == 0, F.lit("Other words entirely")).otherwise(F.col("title")).alias("said"), (F.coalesce("year", F.lit(0)) + F.when(F.col("id") % 7 == 0, 9).otherwise(0)).alias("said_year"))
     joined = said.join(crossref.select("doi", "title", "year"), "doi", "left")
