@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from citeweave.plans import styles
 from citeweave.records import ACCESSED, harden
