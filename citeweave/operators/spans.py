@@ -104,8 +104,9 @@ def entry_places(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc, entry_no, start, end): where the entries of each text's list stand in it, in order; those not found are left out.
 
     Texts are compared by folded letters and digits. An entry is looked for behind the one
-    before, by its first ``FIRST`` characters, then by ``LESS``; it ends where its letters run
-    out or the next one starts, with the marks behind it. ``entries`` has (doc, entry_no, entry).
+    before (all of it that is sure: the whole, if all its letters stand there, else ``LESS`` of
+    them), by its first ``FIRST`` characters, then by ``LESS``; it ends where its letters run out
+    or the next one starts, with the marks behind it. ``entries`` has (doc, entry_no, entry).
     """
     lists = entries.select("doc", "entry_no", fold_map(F.coalesce("entry", F.lit("")))["folded"].alias("key"))
     lists = lists.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("entry_no", "key"))).alias("entries"))
@@ -118,7 +119,8 @@ def entry_places(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
         def placed(at: Column) -> Column:
             here = F.struct(e["entry_no"].alias("entry_no"), at.alias("at"), n.alias("n"))
-            return F.struct(F.when(at > 0, at + F.least(F.lit(LESS), n)).otherwise(acc["from"]).alias("from"), F.when(at > 0, F.concat(acc["found"], F.array(here))).otherwise(acc["found"]).alias("found"))
+            sure = F.when(F.substring(F.col("map.folded"), at, n) == e["key"], n).otherwise(F.least(F.lit(LESS), n))
+            return F.struct(F.when(at > 0, at + sure).otherwise(acc["from"]).alias("from"), F.when(at > 0, F.concat(acc["found"], F.array(here))).otherwise(acc["found"]).alias("found"))
 
         return let(F.when(n < SHORT, 0).when(first > 0, first).otherwise(second), placed)
 

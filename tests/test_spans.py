@@ -51,6 +51,13 @@ def test_entries_are_found_in_order(spark):
     assert got[1].startswith("Abél") and got[1].endswith("1–9.") and got[2].startswith("Abel") and got[2].endswith("4, 1.") and got[4].startswith("Costa, C. (2003). Estuaries of the south")
 
 
+def test_an_entry_is_not_looked_for_in_a_whole_one_before(spark):
+    first, second = "Abel, A., Borg, B., & Costa, C. (1988). Old widget of the economy series. Press.", "Old widget of the economy series. (1989). Journal."
+    entries = [(1, 1, first), (1, 2, "Old widget of the economy series, quite another end")]
+    got = spans.entry_places(spark.createDataFrame([(1, f"{first}\n{second}")], "doc int, text string"), spark.createDataFrame(entries, "doc int, entry_no int, entry string")).collect()
+    assert sorted((r.entry_no, r.start, r.end) for r in got) == [(1, 0, len(first)), (2, len(first) + 1, len(first) + 1 + len(second))]
+
+
 def runs(spark, text):
     rows = spans.citation_runs(spark.createDataFrame([(1, text)], "doc int, text string")).collect()
     return [(list(r.names), r.second, r.year, r.suffix, r.locator) for r in sorted(rows, key=lambda r: (r.run_no, r.at_no))]
