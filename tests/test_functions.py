@@ -104,6 +104,12 @@ def test_all_spelling_rules(spark):
     assert {r.word: r.got for r in df.select("word", t.fold_spelling(F.col("word")).alias("got")).collect()} == words
 
 
+def test_spelling_rules_build_on_one_another(spark):
+    words = {"choaein": "chein", "beeringntouroae": "beeringntoure", "anoael": "anoael", "oaeellen": "eelen", "choaen": "chen"}
+    df = spark.createDataFrame(list(words.items()), "word string, want string")
+    assert {r.word: r.got for r in df.select("word", t.fold_spelling(F.col("word")).alias("got")).collect()} == words
+
+
 def test_names(spark):
     from citeweave.functions import names as n
 
