@@ -22,6 +22,8 @@ from citeweave.tables import WORKS_SQL, load, works
 
 #: The longest phrase, in words.
 WORDS = 8
+#: Rows of a level of the trie that is broadcast, at most.
+SMALL = 100_000
 #: Folded characters by which an entry is looked for, first and if that fails; shorter entries are not.
 FIRST, LESS, SHORT = 40, 20, 8
 YEAR = r"(?:1[5-9]|20)[0-9]{2}"
@@ -55,13 +57,14 @@ def disjoint(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return ordered.mapInArrow(run, ordered.schema)
 
 
-def placed_words(texts: DataFrame) -> DataFrame:
-    """(doc_id, at, end, word, no): small words of each text, where they stand, numbered.
+def placed_words(texts: DataFrame, ahead: int = 1) -> DataFrame:
+    """(doc_id, at, word_1, end_1, ...): small words of each text, where they stand, each with those behind it, ``ahead`` in all.
 
     Arrow batches; a text's words are found in one pass, so long texts cost in proportion.
     """
     pattern = re.compile(r"[^\W_]+")
     id_type = texts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "at", *(f"{x}_{k}" for k in range(1, ahead + 1) for x in ("word", "end"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,34 +73,39 @@ def placed_words(texts: DataFrame) -> DataFrame:
                 if found:
                     at, end, word = zip(*found, strict=True)
                     n = len(found)
-                    columns = [pa.array([doc_id.as_py()] * n, batch.schema.field("doc_id").type), pa.array(at, pa.int32()), pa.array(end, pa.int32()), pa.array(word), pa.array(range(n), pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "end", "word", "no"])
+                    behind = [pa.array(x[k:] + (None,) * min(k, n), kind) for k in range(ahead) for x, kind in ((word, pa.string()), (end, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * n, batch.schema.field("doc_id").type), pa.array(at, pa.int32()), *behind], names)
 
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, at int, end int, word string, no int")
+    each = ", ".join(f"word_{k} string, end_{k} int" for k in range(1, ahead + 1))
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, at int, {each}")
 
 
 def phrase_spans(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, start, end, phrase): phrases in texts, the longest of those that start together, none over another.
 
     Phrases (small words parted by single blanks, ``WORDS`` at most) are a trie as a table: one
-    row for each beginning, and whether a phrase ends there. A word that starts one meets the
-    words behind it level by level; each level is a join by text, place and beginning, and only
-    beginnings that are in the trie go on.
+    row for each beginning, and whether a phrase ends there. A word goes with those behind it, so
+    that texts are read once; those that start a phrase meet the trie level by level. Levels of up
+    to ``SMALL`` rows are broadcast: then no word is written to disk that starts no phrase.
     """
     split = phrases.select(F.split("phrase", " ").alias("words")).filter(F.size("words").between(1, WORDS)).distinct()
     beginnings = split.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.struct(F.array_join(F.slice("words", 1, n), " ").alias("path"), n.alias("level"), (n == F.size("words")).alias("ends")))).alias("x"))
     trie = beginnings.select("x.path", "x.level", "x.ends").groupBy("path", "level").agg(F.bool_or("ends").alias("ends"))
-    starts = trie.filter("level = 1").select(F.col("path").alias("word"), "ends")
-    words = placed_words(texts)
-    open_ = words.join(starts, "word").select("doc_id", F.col("at").alias("start"), "end", "no", F.col("word").alias("path"), "ends")
-    deepest = split.agg(F.max(F.size("words"))).first()[0] or 0
-    found = open_.filter("ends")
-    for level in range(2, deepest + 1):
-        behind = words.select("doc_id", (F.col("no") - 1).alias("no"), F.col("end").alias("upto"), F.col("word").alias("next"))
-        longer = open_.join(behind, ["doc_id", "no"]).select("doc_id", "start", F.col("upto").alias("end"), (F.col("no") + 1).alias("no"), F.concat("path", F.lit(" "), "next").alias("path"))
-        open_ = longer.join(trie.filter(F.col("level") == level).select("path", "ends"), "path").select("doc_id", "start", "end", "no", "path", "ends")
-        found = found.unionByName(open_.filter("ends"))
-    return disjoint(found.select("doc_id", "start", "end", F.col("path").alias("phrase")).distinct())
+    sizes = {r["level"]: r["count"] for r in trie.groupBy("level").count().collect()}  # WORDS rows at most
+    deepest = max(sizes, default=1)
+    open_ = placed_words(texts, deepest).withColumn("path", F.col("word_1"))
+    best = F.struct(F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("phrase"))
+    for k in range(1, deepest + 1):
+        level = trie.filter(F.col("level") == k).select(F.col("path").alias("key"), "ends")
+        # A path that has ended meets no beginning, wherever it is dealt to.
+        keyed = open_.withColumn("key", F.coalesce("path", F.concat(F.lit("\0"), F.col("at").cast("string"))))
+        met = keyed.join(F.broadcast(level) if sizes.get(k, 0) <= SMALL else level, "key", "inner" if k == 1 else "left")
+        here = F.col("path").isNotNull() & F.col("ends").isNotNull()
+        longest = F.when(here & F.col("ends"), F.struct(F.col(f"end_{k}").alias("end"), F.col("path").alias("phrase"))).otherwise(F.col("best") if k > 1 else best)
+        after = F.when(here, F.concat("path", F.lit(" "), f"word_{k + 1}")) if k < deepest else F.lit(None).cast("string")
+        open_ = met.withColumns({"best": longest, "path": after}).drop("key", "ends", f"word_{k}", f"end_{k}")
+    found = open_.filter("best.end is not null").select("doc_id", F.col("at").alias("start"), "best.end", "best.phrase")
+    return disjoint(found.distinct())
 
 
 def entry_places(texts: DataFrame, entries: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def test_phrases_equal_all_substrings(spark):
     assert got == want and (94, 2, 11, "iron age") in got
 
 
+def test_words_of_texts_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "of the iron age tomb"), (1, "of the iron age tomb"), (2, "iron age")], "doc_id int, text string")
+    got = spans.phrase_spans(texts, spark.createDataFrame([("iron age tomb",), ("iron",)], "phrase string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 20, "iron age tomb"), (2, 0, 4, "iron")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert spans.phrase_spans(texts, spark.createDataFrame([], "phrase string")).count() == 0
+
+
 def test_entries_are_found_in_order(spark):
     text = "See Abel 2001.\n\nREFERENCES\n[1] Abél, A. (2001). On rivers and their\nmeanders at length. Wa-\nter, 3, 1–9.\n[2] Abel, A. (2001). On rivers and their meanders at length. Water, 4, 1.\n[3] short\n[4] Costa, C. (2003). Estuaries of the south: read otherwise"
     entries = [(1, 1, "Abel, A. (2001). On rivers and their meanders at length. Water, 3, 1-9."), (1, 2, "Abel, A. (2001). On rivers and their meanders at length. Water, 4, 1."), (1, 3, "short"), (1, 4, "Costa, C. (2003). Estuaries of the north and their salt"), (1, 5, "Never there at all, 1999"), (2, 1, "Abel"), (1, 6, None)]
