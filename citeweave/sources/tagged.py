@@ -153,7 +153,7 @@ def bib_entries(files: DataFrame) -> DataFrame:
     pattern = rf"(?s)(?:^|[,{{(])\s*([A-Za-z][\w-]*)\s*=\s*((?:{VALUE})(?:\s*#\s*(?:{VALUE}))*)"
     names, values = (F.regexp_extract_all("chunk", F.lit(pattern), F.lit(k)) for k in (1, 2))
     pairs = read.withColumn("pairs", F.arrays_zip(F.transform(names, lambda n: F.lower(n)).alias("name"), values.alias("value")))
-    macros = pairs.filter("entrytype = 'string'").select("file_id", F.explode("pairs").alias("p")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("p.name", "p.value"))).alias("macros"))
+    macros = pairs.filter("entrytype = 'string'").select("file_id", F.explode("pairs").alias("p")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("p.name", "p.value"))).alias("macros")).hint("merge")
     months = _map({m: m.capitalize() for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()})
 
     def unquoted(v: Column) -> Column:
@@ -174,8 +174,10 @@ def inherited(entries: DataFrame, depth: int = 4) -> DataFrame:
     """Entries with what they lack taken from the entry that ``crossref`` or ``xdata`` names, up to ``depth`` steps.
 
     A parent's title is its child's book title. The first of entries of one key is the parent.
+    Parents and macros grow with the files and are taken for small ones, so they are merged: a
+    broadcast would hold them in the driver.
     """
-    parents = entries.groupBy("file_id", F.lower("key").alias("parent")).agg(F.min_by("fields", "record_no").alias("given"))
+    parents = entries.groupBy("file_id", F.lower("key").alias("parent")).agg(F.min_by("fields", "record_no").alias("given")).hint("merge")
     out = entries.withColumn("parent", F.lower(F.coalesce(F.element_at("fields", F.lit("crossref")), F.element_at("fields", F.lit("xdata")), F.lit(""))))
     for _ in range(depth):
         step = out.join(parents, ["file_id", "parent"], "left")

@@ -82,3 +82,11 @@ def test_a_file_in_many_splits_gives_the_rows_of_one(spark, tmp_path):
         assert read() == whole and len(whole) == 200 * 9 + 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_parents_and_macros_are_not_broadcast(spark):
+    content = "@string{p = {Press}}\n@book{a, title={T}, publisher=p}\n@inbook{b, crossref={a}, title={C}}"
+    files = spark.range(1).select(F.col("id").alias("file_id"), F.lit(content).alias("content"))
+    got = tagged.inherited(tagged.bib_entries(files))
+    assert {r.key: (r.fields.get("booktitle"), r.fields["publisher"]) for r in got.collect()} == {"a": (None, "Press"), "b": ("T", "Press")}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
